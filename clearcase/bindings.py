@@ -89,7 +89,8 @@ SELECT o_orderkey AS id, o_orderdate AS ts,
 FROM orders"""
 
 BINDINGS["requests"] = """
-SELECT event_id, ts, user_id AS key,
+SELECT event_id, CAST(floor(event_id / 3) * 1000 AS BIGINT) AS at_ms,
+       CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % 20 END AS key,
        CASE event_type WHEN 'purchase' THEN 'generation' WHEN 'signup' THEN 'regeneration'
             WHEN 'error' THEN 'admin' ELSE 'light' END AS class
 FROM events"""
