@@ -230,14 +230,31 @@ TABLES = (
 ).split()
 
 
+# Tables whose rows get much work each (parsing, many regular expressions).
+HEAVY = {"documents", "pages", "conversations", "charts", "raw_extractions", "drafts"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in HEAVY else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the scan has fewer splits than cores.
+
+    A one-file table would do its per-row work in one task.  A table of many
+    splits, as on a cluster, is left as it is and pays no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The domain table ``name`` over the driver tables in ``sf_dir``."""
     text = BINDINGS[name]
-    sources = {t: table(spark, sf_dir, t) for t in TABLES if f" {t}" in text.replace("\n", " ")}
+    sources = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f" {t}" in text.replace("\n", " ")}
+    if name in HEAVY:
+        sources = {t: spread(df) for t, df in sources.items()}
     return spark.sql(_as_parameters(text, sources), **sources)
 
 
