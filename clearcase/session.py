@@ -24,6 +24,8 @@ def local_session(cores: int | str = 8, name: str = "clearcase") -> SparkSession
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(cores) if str(cores).isdigit() else "8")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Call-site capture costs more than building the column it annotates.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in RESULT_CONF.items():
         builder = builder.config(key, value)
