@@ -55,7 +55,7 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 ZERO_WIDTH = "[\\u200B-\\u200F\\u2060\\uFEFF\\u00AD]"
 ZERO_WIDTH_AND_BIDI = "[\\u200B-\\u200F\\u202A-\\u202E\\u2060\\uFEFF\\u00AD\\uFE00-\\uFE0F]"
 _FOLD_FROM = "\u2018\u2019\u201a\u201c\u201d\u201e\u2012\u2013\u2014\u2212\u00a0\u202f"
-_FOLD_TO = "----  "
+_FOLD_TO = "'" * 6 + "-" * 4 + " " * 2
 # ASCII and composed Latin-1 letters are fixed points of NFKC.
 MAY_CHANGE = "[^\\x00-\\x7F\\u00C0-\\u00FF]"
 

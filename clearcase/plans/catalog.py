@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from clearcase.plans import case_queries, deid_queries, event_queries, ops_queries  # noqa: F401
+from clearcase.plans import case_queries, deid_queries, event_queries, letter_queries, ops_queries  # noqa: F401

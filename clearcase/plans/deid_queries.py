@@ -10,6 +10,7 @@ from clearcase.functions import text as tx
 from clearcase.operators import deid
 from clearcase.operators import verify as vf
 from clearcase.plans.registry import query
+from clearcase.sources.tables import settled
 
 _M = "(?:" + "|".join(fv.MONTH_NAMES) + ")"
 
@@ -117,20 +118,21 @@ def deidentified_charts(spark, sf):
 
 @query("chart_redaction_audit")
 def chart_redaction_audit(spark, sf):
-    return deid.audit(deid.deidentify(bound(spark, sf, "charts"), "text"), "chart_id")
+    done = settled(deid.deidentify(bound(spark, sf, "charts"), "text").select("chart_id", "tokens", "unclassified"))
+    return deid.audit(done, "chart_id")
 
 
 @query("document_leak_gate")
 def document_leak_gate(spark, sf):
     """Whole documents de-identified, then searched by the independent detector."""
-    done = vf.verified(deid.deidentify(table(spark, sf, "documents"), "text"))
+    done = vf.verified(settled(deid.deidentify(table(spark, sf, "documents"), "text").select("doc_id", "redacted", "tokens", "unclassified")))
     return done.select("doc_id", "clean", F.size("leaks").alias("leaks"), F.size("tokens").alias("tokens"), "unclassified")
 
 
 @query("chart_round_trip")
 def chart_round_trip(spark, sf):
     """Restored text holds every value of the token map again."""
-    done = deid.deidentify(bound(spark, sf, "charts"), "text").withColumn("restored", deid.reidentified(F.col("redacted"), F.col("tokens")))
+    done = settled(deid.deidentify(bound(spark, sf, "charts"), "text").select("chart_id", "redacted", "tokens")).withColumn("restored", deid.reidentified(F.col("redacted"), F.col("tokens")))
     return done.select("chart_id", F.forall("tokens", lambda t: tx.contains(F.col("restored"), t["raw"])).alias("restored_all"),
                        tx.contains(F.col("restored"), F.lit("[REDACTED]")).alias("still_masked"))
 
@@ -140,7 +142,7 @@ def conversation_shared_tokens(spark, sf):
     """First and last turn of each conversation share one numbering."""
     turns = table(spark, sf, "conversations").groupBy("conv_id").agg(
         F.min_by("text", "turn").alias("first_text"), F.max_by("text", "turn").alias("last_text"))
-    first = deid.deidentify(turns, "first_text", out="first_redacted").withColumnRenamed("tokens", "first_tokens").drop("unclassified")
+    first = settled(deid.deidentify(turns, "first_text", out="first_redacted").withColumnRenamed("tokens", "first_tokens").drop("unclassified"))
     both = deid.deidentify(first, "last_text", tokens="first_tokens", out="last_redacted")
     return both.select("conv_id", "first_redacted", "last_redacted", F.size("tokens").alias("tokens"))
 

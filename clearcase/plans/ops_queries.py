@@ -240,7 +240,7 @@ def roster_in_order(spark, sf):
 
 
 @query("newest_case", f"""
-WITH {cte('pa_cases')} SELECT id, org_id, strftime(created_at, '%Y-%m-%d') AS created FROM pa_cases ORDER BY created_at DESC, id DESC LIMIT 1""")
+WITH {cte('pa_cases')} SELECT id, org_id, strftime(created_at, '%Y-%m-%d') AS created FROM pa_cases ORDER BY created_at DESC, id DESC, org_id LIMIT 1""")
 def newest_case(spark, sf):
-    top = bound(spark, sf, "pa_cases").orderBy(F.desc("created_at"), F.desc("id")).limit(1)
+    top = bound(spark, sf, "pa_cases").orderBy(F.desc("created_at"), F.desc("id"), "org_id").limit(1)
     return top.select("id", "org_id", F.date_format("created_at", "yyyy-MM-dd").alias("created"))
