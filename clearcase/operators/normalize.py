@@ -324,3 +324,12 @@ def resolution_lines(resolutions: Column) -> Column:
         return F.concat(F.lit("- "), label, said)
 
     return F.array_join(F.array_compact(F.transform(F.map_entries(resolutions), line)), "\n")
+
+
+def appeal_response(raw: Column) -> Column:
+    """The parts of a drafted appeal, null when the shape is wrong: string points, a string step, string citations."""
+    v = marked_fields(raw, "rebuttal_points", "suggested_next_step", "criteria_citations")
+    listed = lambda c: F.when(F.forall(items(c), is_string), F.transform(items(c), raw_string))
+    parts = tx.let(v, lambda o: F.struct(listed(o["rebuttal_points"]).alias("points"), raw_string(o["suggested_next_step"]).alias("next_step"),
+                                         listed(o["criteria_citations"]).alias("citations")))
+    return F.when(parts["points"].isNotNull() & parts["next_step"].isNotNull(), parts)
