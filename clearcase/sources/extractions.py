@@ -46,7 +46,9 @@ FIELDS = (
 
 def _record(clean: Column) -> Column:
     """The marked fields, null unless ``clean`` is one well-formed JSON object."""
-    whole = clean.startswith("{") & F.try_parse_json(clean).isNotNull()
+    # Parsed as the value of a key, so that text after the object is an error and not ignored.
+    wrapped = F.concat(F.lit('{"v":'), clean, F.lit("}"))
+    whole = clean.startswith("{") & F.try_parse_json(wrapped).isNotNull()
     return F.when(whole, marked_fields(marked_json(clean), *FIELDS))
 
 
