@@ -206,7 +206,7 @@ SELECT o_orderkey AS case_id, CAST(a.attempt AS BIGINT) AS attempt, 'November 3,
        CASE WHEN o_orderkey % 21 = 0 THEN 'Cannot generate authorization letter: imaging missing.'
             WHEN a.attempt = 2 AND o_orderkey % 2 = 0 THEN 'Dear reviewer,' || {NL} || 'Naproxen 500 mg was taken. The knee hurts.' || {NL} || 'Sincerely,' || {NL} || 'Sarah Chen, MD'
             ELSE {_letter} END AS text
-FROM orders CROSS JOIN (SELECT 1 AS attempt UNION ALL SELECT 2 AS attempt) a"""
+FROM (SELECT *, 1 AS attempt FROM orders UNION ALL SELECT *, 2 AS attempt FROM orders ) a"""
 
 BINDINGS["supplements"] = f"""
 SELECT o_orderkey AS case_id, {pick(['symptom_duration', 'surgical_approach', 'diagnosis_codes', 'functional_limitations', 'imaging_findings', 'conservative_treatments_named', 'conservative_treatment_duration', 'cpt_code_valid'], 'o_orderkey + s.k')} AS key,
@@ -215,7 +215,7 @@ SELECT o_orderkey AS case_id, {pick(['symptom_duration', 'surgical_approach', 'd
          WHEN 'functional_limitations' THEN 'Cannot climb stairs' WHEN 'imaging_findings' THEN 'KL grade 4 on repeat film'
          WHEN 'conservative_treatments_named' THEN 'Aquatic therapy' WHEN 'conservative_treatment_duration' THEN '16 weeks'
          ELSE 'use 29827 or 99999' END AS value
-FROM orders CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 3 AS k UNION ALL SELECT 5 AS k) s"""
+FROM (SELECT *, 0 AS k FROM orders UNION ALL SELECT *, 3 AS k FROM orders UNION ALL SELECT *, 5 AS k FROM orders ) s"""
 
 # Repeated evaluation runs: one per lineitem; run order by line number.
 BINDINGS["eval_runs"] = f"""
