@@ -98,17 +98,22 @@ def violations(rules: DataFrame) -> DataFrame:
     return rules.withColumn("violation", reason).where("violation IS NOT NULL")
 
 
+# Registries up to this many rules are broadcast; larger ones join by shuffle.
+MAX_BROADCAST_RULES = 10_000
+
+
 def load_rules(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
-    """The registry as a local table; refuses to load when a rule breaks the gate.
+    """The registry as a table; refuses to load when a rule breaks the gate.
 
-    Rows come from the caller's memory, so the optimizer knows the table's exact
-    size and broadcasts it by its own threshold; no hint is needed.
+    Its rows are in the caller's hands, so their number is checked here: a small
+    registry is broadcast, and cases (few payers, so hot keys) need no shuffle.
     """
-    rules = spark.createDataFrame(rows if rows is not None else default_rules(), RULE)
+    rows = rows if rows is not None else default_rules()
+    rules = spark.createDataFrame(rows, RULE)
     bad = violations(rules).select("payer_id", "rule_cpt", "violation").take(1)
     if bad:
         raise ValueError(f"rule {bad[0].payer_id} {bad[0].rule_cpt} is {bad[0].violation}")
-    return rules
+    return F.broadcast(rules) if len(rows) <= MAX_BROADCAST_RULES else rules
 
 
 # ---- matching -----------------------------------------------------------------

@@ -134,3 +134,14 @@ def test_files_appends_and_settling(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "usage"))
     assert back.count() == 2 and back.first().period == "2024-05"
     assert tb.settled(rows).count() == 1
+
+
+def test_small_registry_is_broadcast_and_large_one_is_not(spark, sf, monkeypatch):
+    from clearcase.plans.case_queries import records
+
+    def plan():
+        return rl.with_rule(records(spark, sf), rl.load_rules(spark))._jdf.queryExecution().executedPlan().toString()
+
+    assert "BroadcastHashJoin" in plan() and "SortMergeJoin" not in plan()
+    monkeypatch.setattr(rl, "MAX_BROADCAST_RULES", 0)
+    assert "BroadcastHashJoin" not in plan()
