@@ -145,3 +145,16 @@ def test_small_registry_is_broadcast_and_large_one_is_not(spark, sf, monkeypatch
     assert "BroadcastHashJoin" in plan() and "SortMergeJoin" not in plan()
     monkeypatch.setattr(rl, "MAX_BROADCAST_RULES", 0)
     assert "BroadcastHashJoin" not in plan()
+
+
+def test_limitation_claims_and_anchor_runs(spark):
+    from clearcase.operators import grounding as gr
+
+    letter = ("The patient is unable to climb stairs. She has difficulty with overhead lifting of boxes. "
+              "He cannot dance at weddings. Activities of daily living: cannot perform them.")
+    df = spark.createDataFrame([(letter, ["Unable to climb stairs without rail", "limited overhead lifting"])], "letter STRING, functional_limitations ARRAY<STRING>")
+    got = gr.ungrounded_limitations(df, "letter", "functional_limitations").first().limitations_missing
+    assert got == ['"cannot dance at weddings"  (sentence: He cannot dance at weddings.)']
+    marks = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(a).alias("anchor")) for i, a in (("b", "stairs. She"), ("a", "climb stairs"), ("c", "absent"), ("d", "dance"))])
+    runs = df.select(lt.anchor_runs(F.col("letter"), marks)).first()[0]
+    assert [(r.item_id, letter[r.start:r.start + r.len]) for r in runs] == [("a", "climb stairs"), ("d", "dance")]
