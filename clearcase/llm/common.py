@@ -36,7 +36,7 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def in_seventh(doc_id: Column, parts: int, chosen: int) -> Column:
+def in_fold(doc_id: Column, parts: int, chosen: int) -> Column:
     """Whether crc32 of the id as text leaves ``chosen`` modulo ``parts``; a null id counts as an empty one."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts == chosen
 

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearcase.llm import bpe, packing, sharding
-from clearcase.llm.common import table
+from clearcase.llm import bpe, packing, sharding, toxicity
+from clearcase.llm.common import in_fold, table
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -38,10 +38,20 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learnt outside fold 0 of 5."""
+    docs = table(spark, sf_dir, "documents")
+    rows = toxicity.scored(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
+    return rows.select(
+        "doc_id", in_fold(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "gain",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
     "op9_bpe": op9_bpe,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
