@@ -22,7 +22,7 @@ from clearcase.llm.common import in_fold, text_slices
 #: Labelled rows of each class that are fitted on at most; every other step covers all rows.
 SAMPLE = 5000
 #: Bytes of ordinary text in both dictionaries and of toxic text in the toxic one.
-ORDINARY_BYTES, TOXIC_BYTES = 24_000, 32_000
+ORDINARY_BYTES, TOXIC_BYTES = 60_000, 32_000
 #: Words of a window, and bytes after which a window of long words is cut.
 WINDOW_WORDS, WINDOW_BYTES = 10, 400
 #: The compressor starts no match in an input's last bytes; blanks keep a window's last word comparable.
@@ -53,7 +53,7 @@ def windows(text: str) -> list[bytes]:
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
     params = zstandard.ZstdCompressionParameters(
-        window_log=17, hash_log=17, chain_log=17, search_log=4, min_match=5, target_length=16,
+        window_log=17, hash_log=17, chain_log=17, search_log=4, min_match=6, target_length=64,
         strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0,
     )
     trained = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -104,7 +104,7 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     """
     toxic, ordinary = unlike(toxic), unlike(ordinary)
     draw = random.Random(11)
-    picked = [w[: -len(TAIL)] for found in map(windows, ordinary) for w in draw.sample(found, min(6, len(found)))]
+    picked = [w[: -len(TAIL)] for found in map(windows, ordinary) for w in draw.sample(found, min(12, len(found)))]
     draw.shuffle(picked)
     base = b"".join(picked)[:ORDINARY_BYTES]
     inside, outside = Counter(), Counter()
@@ -126,7 +126,7 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     for _, mark in marks:
         if len(content) + len(mark) <= TOXIC_BYTES and mark not in content:
             content = mark + content
-    return base, base + content
+    return base, base + content + TAIL  # nor does it index the last bytes of a dictionary
 
 
 def calibrated(rows: np.ndarray, labels: np.ndarray) -> list[float]:
