@@ -8,12 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearcase.llm import bpe, packing, sharding, toxicity
+from clearcase.llm import bpe, codes, packing, sharding, toxicity, vectors
 from clearcase.llm.common import in_fold, table
 
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all vectors with cosine 0.95 or more."""
+    return vectors.linked_vectors(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+def op6_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest sign codes, among all rows, of every row whose id is divisible by 20."""
+    every = codes.sign_codes(table(spark, sf_dir, "embeddings"))
+    return codes.nearest(every, every.filter(F.col("id") % 20 == 0), 10)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 8 shards of near-equal bytes."""
     rows = sharding.sharded(table(spark, sf_dir, "documents"), 8)
@@ -48,10 +59,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_vectors": op5_vectors,
+    "op6_codes": op6_codes,
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+#: Brute force over the same sign codes.
+CODES_SQL = """
+WITH c AS (
+  SELECT vec_id AS id, bit_string AS code FROM (
+    SELECT vec_id, array_to_string([CASE WHEN x > 0 THEN '1' ELSE '0' END FOR x IN embedding[1:64]], '') AS bit_string
+    FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding[1:64] IF x IS NULL]) = 0)
+), d AS (
+  SELECT q.id AS query_id, c.id AS neighbour_id, CASE WHEN q.code = c.code THEN 0 ELSE hamming(q.code, c.code) END AS distance
+  FROM (SELECT * FROM c WHERE id % 20 = 0) q, c WHERE q.id <> c.id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM d
+)
+SELECT query_id, neighbour_id, distance::INT AS distance, rank::INT AS rank FROM r WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op6_codes": CODES_SQL}
