@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearcase.llm import bpe, codes, packing, sharding, toxicity, vectors
+from clearcase.llm import bpe, codes, near, packing, sharding, toxicity, vectors
 from clearcase.llm.common import in_fold, table
 
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share three quarters of their 5-word shingles."""
+    return near.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of all vectors with cosine 0.95 or more."""
     return vectors.linked_vectors(table(spark, sf_dir, "embeddings"), 0.95)
@@ -59,6 +64,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_near_duplicates": op3_near_duplicates,
     "op5_vectors": op5_vectors,
     "op6_codes": op6_codes,
     "op7_sharding": op7_sharding,
