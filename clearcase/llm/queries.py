@@ -8,12 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearcase.llm import bpe, codes, near, packing, sharding, toxicity, vectors
+from clearcase.llm import bpe, codes, near, packing, quality, sharding, toxicity, vectors
 from clearcase.llm.common import in_fold, table
 
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability that each document is of good quality, by its text, host and path; learnt outside fold 0 of 5."""
+    docs = table(spark, sf_dir, "documents")
+    rows = quality.scored(docs, quality.trained(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", in_fold(F.col("doc_id"), 5, 0).alias("held_out"), "evidence", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share three quarters of their 5-word shingles."""
     return near.near_duplicates(table(spark, sf_dir, "documents"))
@@ -64,6 +71,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op3_near_duplicates": op3_near_duplicates,
     "op5_vectors": op5_vectors,
     "op6_codes": op6_codes,
