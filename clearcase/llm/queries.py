@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearcase.llm import bpe, codes, near, packing, quality, sharding, toxicity, vectors
+from clearcase.llm import bpe, codes, near, packing, pii, quality, sharding, toxicity, vectors
 from clearcase.llm.common import in_fold, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -26,6 +26,13 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: counts and digests of the base spans, and all spans."""
+    rows = pii.personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, c -> c.kind = {k})) AS long)").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return rows.select("doc_id", *counts, F.sha2(F.expr(pii.joined("base")).cast("binary"), 256).alias("base_sha256"), F.expr(pii.joined("spans")).alias("spans"))
+
+
 def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of all vectors with cosine 0.95 or more."""
     return vectors.linked_vectors(table(spark, sf_dir, "embeddings"), 0.95)
@@ -73,6 +80,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_personal_data": op4_personal_data,
     "op5_vectors": op5_vectors,
     "op6_codes": op6_codes,
     "op7_sharding": op7_sharding,
