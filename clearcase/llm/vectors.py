@@ -82,52 +82,72 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "ve
     )
     rows = written(rows)
     classes = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v"))
+    classes = classes.withColumn("class", F.xxhash64("key"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("v")
             ends, data = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype(np.float32)
             parts = [data[a:b].tobytes() for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), batch.column("n"), pa.array(parts, pa.binary())], names=["key", "id", "n", "v"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "class", "id", "n")), pa.array(parts, pa.binary())], names=["key", "class", "id", "n", "v"])
 
-    classes = written(classes.mapInArrow(packed, "key string, id long, n long, v binary"))
+    classes = written(classes.mapInArrow(packed, "key string, class long, id long, n long, v binary"))
     total = classes.count()
     # Grid coordinates follow the logarithm of the rows, so that cells stay about as full.
-    used = max(1, min(BLOCK, math.ceil(math.log2(total + 1) / 5)))
+    used = max(1, min(BLOCK, round(math.log2(total + 1) / 5)))
+
+    def cells(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int, bool]]:
+        """(rows, cell codes, block, home) of a batch's visits."""
+        sizes = np.array([len(x) // 4 for x in batch.column("v").to_pylist()])
+        for size in np.unique(sizes).tolist():
+            of = np.flatnonzero(sizes == size)
+            turned = unit(batch.column("v").take(pa.array(of))) @ rotation(size)
+            for k, (cut, budget) in enumerate(zip(blocks_of(size), budgets(size, cosine))):
+                radius = math.sqrt(budget)
+                for near, at, home in visits(turned[:, cut], max(2 * radius, 0.01), radius, min(used, cut.stop - cut.start)):
+                    code = np.full(len(near), size * 4096 + k, np.int64)
+                    for axis in range(at.shape[1]):
+                        code = code * 1_000_003 + at[:, axis]  # a cell's number: wraps, but is far from repeating
+                    yield of[near], code, k, home
 
     def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.array([len(x) // 4 for x in batch.column("v").to_pylist()])
-            for size in np.unique(sizes).tolist():
-                of = np.flatnonzero(sizes == size)
-                part = batch.take(pa.array(of))
-                turned = unit(part.column("v")) @ rotation(size)
-                for k, (cut, budget) in enumerate(zip(blocks_of(size), budgets(size, cosine))):
-                    radius = math.sqrt(budget)
-                    for near, cells, home in visits(turned[:, cut], max(2 * radius, 0.01), radius, min(used, cut.stop - cut.start)):
-                        names = [f"{size}:{k}:" + ":".join(map(str, c)) for c in cells.tolist()]
-                        taken = part.take(pa.array(near))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(names), pa.array([k] * len(near), pa.int32()), pa.array([home] * len(near)), taken.column("key"), taken.column("id"), taken.column("n"), taken.column("v")],
-                            names=["cell", "block", "home", "key", "id", "n", "v"],
-                        )
-
-    seen = written(classes.mapInArrow(celled, "cell string, block int, home boolean, key string, id long, n long, v binary"))
+            for rows_, code, k, home in cells(batch):
+                taken = batch.take(pa.array(rows_))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(code), pa.array([k] * len(code), pa.int32()), pa.array([home] * len(code)), *(taken.column(c) for c in ("class", "id", "n", "v"))],
+                    names=["cell", "block", "home", "class", "id", "n", "v"],
+                )
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, code, _, _ in cells(batch):
+                found_, m = np.unique(code, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found_), pa.array(m)], names=["cell", "m"])
+
+    # Rows are made where they are needed: vectors are not written once for every cell.
+    seen = classes.mapInArrow(celled, "cell long, block int, home boolean, class long, id long, n long, v binary")
     # Cells are at most (2 / width) ^ used for each block and length, apart from the rows' number.
-    full = seen.groupBy("cell").agg(F.count("*").alias("m")).filter(F.col("m") > TILE).select("cell", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
-    tiled = seen.join(full, "cell", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    own = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
+    full = written(classes.mapInArrow(counted, "cell long, m long").groupBy("cell").agg(F.sum("m").alias("m")).filter(F.col("m") > TILE).select("cell", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")))
+    tiled = seen.join(F.broadcast(full), "cell", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    own = F.pmod(F.col("class"), F.col("tiles")).cast("int")
     every = F.sequence(F.lit(0), F.col("tiles") - 1)
     # A home row stands in one row of tiles, and every row, as a visitor, in one column.
-    homes = tiled.filter("home").withColumn("row", own).withColumn("column", F.explode(every)).withColumn("visitor", F.lit(False))
-    guests = tiled.withColumn("column", own).withColumn("row", F.explode(every)).withColumn("visitor", F.lit(True))
+    stands = F.array(*[
+        F.struct(F.lit(False).alias("visitor"), own.alias("row"), F.lit(None).cast("int").alias("column")),
+        F.struct(F.lit(True).alias("visitor"), F.lit(None).cast("int").alias("row"), own.alias("column")),
+    ])
+    placed = tiled.withColumn("stand", F.explode(F.when(F.col("home"), stands).otherwise(F.slice(stands, 2, 1)))).withColumn("other", F.explode(every))
+    tiles = placed.select(
+        "cell", F.coalesce("stand.row", "other").alias("row"), F.coalesce("stand.column", "other").alias("column"), "block", "class", "id", "n", "v", F.col("stand.visitor").alias("visitor")
+    )
 
     def compared(tile: pa.Table) -> pa.Table:
         tile = tile.combine_chunks()
         k, packed_all = tile["block"][0].as_py(), tile["v"].combine_chunks()
         vectors_ = unit(packed_all)
         turned = vectors_ @ rotation(vectors_.shape[1])
-        ids, counts, keys = tile["id"].to_numpy(), tile["n"].to_numpy(), np.array(tile["key"].to_pylist())
+        ids, counts, keys = tile["id"].to_numpy(), tile["n"].to_numpy(), tile["class"].to_numpy()
         visitor = tile["visitor"].to_numpy()
         h, g = np.flatnonzero(~visitor), np.flatnonzero(visitor)
         cuts, limits = blocks_of(vectors_.shape[1]), budgets(vectors_.shape[1], cosine)
@@ -135,7 +155,7 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "ve
         linked = {}
         parent = {}
 
-        def root(i: str) -> str:
+        def root(i: int) -> int:
             while parent.setdefault(i, i) != i:
                 parent[i] = parent[parent[i]]
                 i = parent[i]
@@ -159,25 +179,21 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "ve
                 for cut, limit in zip(cuts[:k], limits[:k]):
                     first &= gap[:, cut].sum(1) > limit
                 p, q = p[first], q[first]
-                for a, b in zip(p.tolist(), q.tolist()):
-                    linked[keys[a]] = linked.get(keys[a], 0) + int(counts[b])
-                    linked[keys[b]] = linked.get(keys[b], 0) + int(counts[a])
-                    ra, rb = root(keys[a]), root(keys[b])
+                for a, b, na, nb in zip(keys[p].tolist(), keys[q].tolist(), counts[p].tolist(), counts[q].tolist()):
+                    linked[a] = linked.get(a, 0) + nb
+                    linked[b] = linked.get(b, 0) + na
+                    ra, rb = root(a), root(b)
                     if ra != rb:
                         parent[rb] = ra
         names = list(linked)
-        return pa.table({"key": pa.array(names, pa.string()), "links": pa.array([linked[n] for n in names], pa.int64()),
+        return pa.table({"class": pa.array(names, pa.int64()), "links": pa.array([linked[n] for n in names], pa.int64()),
                          "id": pa.array([least[n] for n in names], pa.int64()), "to": pa.array([least[root(n)] for n in names], pa.int64())})
 
-    columns = ["cell", "row", "column", "block", "key", "id", "n", "v", "visitor"]
-    found = written(
-        homes.select(columns).unionByName(guests.select(columns)).groupBy("cell", "row", "column")
-        .applyInArrow(compared, "key string, links long, id long, to long")
-    )
+    found = written(tiles.groupBy("cell", "row", "column").applyInArrow(compared, "class long, links long, id long, to long"))
     labels = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
-    links = found.groupBy("key").agg(F.sum("links").alias("links"))
+    links = found.groupBy("class").agg(F.sum("links").alias("links"))
     result = (
-        classes.select("key", "id", "n").join(links, "key", "left").join(labels, "id", "left")
+        classes.select("key", "class", "id", "n").join(links, "class", "left").join(labels, "id", "left")
         .select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     )
     joined = rows.select("vec_id", "key").join(result, "key", "left").select(
