@@ -181,3 +181,15 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, gain double")
+
+
+def filtered(docs: DataFrame, model: Model, below: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below ``below``; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gains, weights = Gains(model), np.array(model.weights)
+        for batch in text_slices(batches):
+            found = np.array([gains(t or "") for t in batch.column("text").to_pylist()], dtype=float).reshape(-1, 3)
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(found @ weights[:3] + weights[3], -30, 30))) < below))
+
+    return docs.mapInArrow(run, docs.schema)
