@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearcase.llm import bpe, codes, near, packing, pii, quality, sharding, toxicity, vectors
+from clearcase.llm import bpe, codes, lm, near, packing, pii, quality, sharding, toxicity, vectors
 from clearcase.llm.common import in_fold, table
 
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every text, learnt from six sevenths of the documents."""
+    return lm.scored(table(spark, sf_dir, "documents"), 7, 2)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The probability that each document is of good quality, by its text, host and path; learnt outside fold 0 of 5."""
     docs = table(spark, sf_dir, "documents")
@@ -78,6 +83,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_scores": op1_scores,
     "op2_quality": op2_quality,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_personal_data": op4_personal_data,
