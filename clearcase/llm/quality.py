@@ -148,14 +148,16 @@ def judged(rows: DataFrame, rates: DataFrame, evidence: str, path: str, score: s
     The rates are broadcast while they are few, as counted; else they are joined by path and a salt, each rate once for
     every salt, so that a path with a third of all rows is dealt out.
     """
+    rate, salt = free_name(rows, "rate_"), free_name(rows, "salt_")
+    rates = rates.select(F.col("path").alias(path), F.col("rate").alias(rate))
     if rates.count() <= SMALL:
-        joined = rows.join(F.broadcast(rates.withColumnRenamed("path", path)), path, "left")
+        joined = rows.join(F.broadcast(rates), path, "left")
     else:
-        salted = rates.withColumnRenamed("path", path).withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = rows.withColumn("salt_", F.pmod(F.xxhash64("doc_id", evidence), F.lit(SALTS)).cast("int"))
-        joined = dealt.join(salted, [path, "salt_"], "left").drop("salt_")
-    prior = F.coalesce("rate", F.lit(0.5))
-    return joined.withColumn(score, 1 / (1 + F.exp(-(F.col(evidence) + F.log(prior / (1 - prior)))))).drop("rate")
+        salted = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = rows.withColumn(salt, F.pmod(F.xxhash64("doc_id", evidence), F.lit(SALTS)).cast("int"))
+        joined = dealt.join(salted, [path, salt], "left")
+    prior = F.coalesce(rate, F.lit(0.5))
+    return joined.withColumn(score, 1 / (1 + F.exp(-(F.col(evidence) + F.log(prior / (1 - prior)))))).drop(rate, salt)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
