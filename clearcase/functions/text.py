@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -251,3 +252,10 @@ def name_variants(parts: Column) -> Column:
 def literal(c: Column) -> Column:
     """A text as a regular expression that matches only itself."""
     return F.concat(F.lit("\\Q"), F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
+def with_running(items: Column, amount: Callable[[Column], Column]) -> Column:
+    """(item, sum) for every item of an array: the amounts up to and including it, added up in one fold."""
+    zero = F.array().cast("array<int>")
+    sums = F.aggregate(F.transform(items, amount), zero, lambda a, x: F.array_append(a, F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + x))
+    return F.zip_with(items, sums, lambda i, n: F.struct(i.alias("item"), n.alias("sum")))

@@ -98,9 +98,13 @@ def insert_unique(new_rows: DataFrame, existing: DataFrame, key: str, order: str
     return first.join(existing.select(key), key, "left_anti")
 
 
-def keyed_update(rows: DataFrame, key: str, updates: DataFrame, column: str) -> DataFrame:
-    """``column`` replaced where ``updates`` has the key; other rows unchanged."""
-    change = updates.select(key, F.col(column).alias("_new"), F.lit(True).alias("_hit")).dropDuplicates([key])
+def keyed_update(rows: DataFrame, key: str, updates: DataFrame, column: str, order: str | None = None) -> DataFrame:
+    """``column`` replaced where ``updates`` has the key; other rows unchanged.
+
+    Of several updates of one key the last by ``order`` counts; without an order, and on ties, the greatest value does.
+    """
+    last = F.struct(*([order] if order else []), column)
+    change = updates.groupBy(key).agg(F.max(last)[column].alias("_new"), F.lit(True).alias("_hit"))
     return rows.join(change, key, "left").withColumn(
         column, F.when(F.col("_hit"), F.col("_new")).otherwise(F.col(column))
     ).drop("_new", "_hit")

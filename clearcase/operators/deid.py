@@ -73,8 +73,12 @@ class Pass:
 
 
 def _ahead(i: Column, chars: int) -> Column:
-    """The last ``chars`` characters before match ``i``, from the parts and matches before it."""
-    pieces = F.zip_with(F.slice("_cut", F.lit(1), i), F.slice("_whole", F.lit(1), i), lambda a, b: F.concat(a, b))
+    """The last ``chars`` characters before match ``i``.
+
+    Every earlier match has a character at least, so no more than ``chars`` parts and matches before it are read.
+    """
+    first = F.greatest(i - chars, F.lit(0))
+    pieces = F.zip_with(F.slice("_cut", first + 1, i - first), F.slice("_whole", first + 1, i - first), lambda a, b: F.concat(a, b))
     return F.right(F.concat(F.array_join(pieces, ""), F.get("_cut", i)), F.lit(chars))
 
 
@@ -97,6 +101,8 @@ def run_pass(df: DataFrame, p: Pass) -> DataFrame:
     if p.context:
         matches = F.transform(matches, lambda m, i: m.withField("ahead", _ahead(i, p.context)))
     found = F.when(text.rlike(p.hint), F.transform(matches, hit))
+    if p.keep and p.key is None:
+        found = F.transform(tx.with_running(found, lambda h: h["keep"].cast("int")), lambda x: x["item"].withField("rank", x["sum"]))
     df = df.withColumns({"_hits": found, "_last": last_number(toks, p.cat) if p.cat else F.lit(0)})
     any_hit = F.coalesce(F.size(hits) > 0, F.lit(False))
     kept = F.filter(hits, lambda h: h["keep"])
@@ -104,7 +110,7 @@ def run_pass(df: DataFrame, p: Pass) -> DataFrame:
 
     if p.key is None:
         def token(h: Column, i: Column) -> Column:
-            rank = F.size(F.filter(F.slice(hits, F.lit(1), i + 1), lambda x: x["keep"])) if p.keep else i + 1
+            rank = h["rank"] if p.keep else i + 1
             return F.concat(F.lit(f"[{p.cat}_"), (last + rank).cast("string"), F.lit("]"))
 
         def minted(h: Column, i: Column) -> Column:
@@ -166,8 +172,9 @@ LOCATION_WORDS = (
     r"relocated\s+(?:from|to)|moved\s+(?:from|to)|resides?\s+in|lives?\s+in|living\s+in|travel(?:ed|led)\s+(?:from|to)|"
     r"referred\s+from|transferred\s+(?:from|to)|commutes\s+from|returned\s+(?:from|to)|originally\s+from|hails\s+from|based\s+in|located\s+in"
 )
+# Group loops recurse in the regex engine, so words are runs of characters: blanks and letters up to the last street word.
 STREET = (
-    r"\b\d{1,5}\s+[A-Z][a-zA-Z]+(?:\s+[A-Za-z]+)*\s+(?:Street|St|Avenue|Ave|Boulevard|Blvd|Drive|Dr|Road|Rd|Lane|Ln|Way|Court|Ct|Place|Pl)\.?"
+    r"\b\d{1,5}\s+[A-Z][a-zA-Z]+\s[A-Za-z\s]*(?<=\s)(?:Street|St|Avenue|Ave|Boulevard|Blvd|Drive|Dr|Road|Rd|Lane|Ln|Way|Court|Ct|Place|Pl)\.?"
     r"(?:\s+(?:Suite|Ste|Apt|Unit)\.?\s*[A-Z0-9]+)?\b"
 )
 FACILITY = r"\b[A-Z][a-zA-Z&'\- ]*(?:Hospital|Clinic|Medical Center|Health System|Surgery Center|Health Center|Orthopedic(?:s| Center)?)\b"
@@ -288,9 +295,10 @@ def passes_before_cities() -> list[Pass]:
         _keyed("CITY", 3, _folded), render=_labelled(), groups=3)
     add("city state", rf"(?<!\w)([A-Z][a-zA-Z.'\-]+(?:\s+[A-Z][a-zA-Z.'\-]+)?),\s*([A-Z]{{2}})\b{after(10)}", r",\s*[A-Z]{2}",
         _keyed("CITY", 1, _folded), render=lambda t, m: F.concat(t, F.lit(", "), m["g2"]), keep=_city_state, groups=3, context=20)
-    not_code = lambda m: ~m["ahead"].rlike(CODE_CONTEXT)
-    add("zip after state", r"(?=\d{5})(?<=,\s{0,8}[A-Z]{2}\s{1,8})\d{5}(?:-\d{4})?\b", r"[A-Z]{2}\s+\d{5}", _number("ZIP"), keep=not_code, context=20)
-    add("zip after token", r"(?=\d{5})(?<=\[(?:ADDRESS|CITY_\d{1,6})\][,\s]{1,4})\d{5}(?:-\d{4})?\b", r"\][,\s]{1,4}\d{5}", _number("ZIP"), keep=not_code, context=20)
+    zip_kept = lambda m: ~F.right(F.concat(m["ahead"], m["g1"]), F.lit(20)).rlike(CODE_CONTEXT)
+    for name, lead, hint in (("state", r",\s*[A-Z]{2}\s+", r"[A-Z]{2}\s+\d{5}"), ("token", r"\[(?:ADDRESS|CITY_\d+)\][,\s]{1,4}", r"\][,\s]{1,4}\d{5}")):
+        add(f"zip after {name}", rf"({lead})(\d{{5}}(?:-\d{{4}})?)\b", hint, _number("ZIP", 2), keep=zip_kept, context=20, groups=2,
+            render=lambda t, m: F.concat(m["g1"], t))
     add("age in years", r"(?i)\b(\d{1,3})[- ]year[- ]old\b", r"(?i)year[- ]old", _AGE, groups=1)
     add("age stated", r"(?i)\bage\s+(\d{1,3})\b", r"(?i)age\s+\d", _AGE, groups=1)
     add("facility", FACILITY, r"Hospital|Clinic|Center|System|Orthopedic", _single("[FACILITY]"))
@@ -318,7 +326,7 @@ BARE_ID_PASS = Pass("bare id", edges(BARE_ID), r"[A-Z0-9]-[A-Z0-9]{2,8}-[A-Z0-9]
 # ---- sweeps ------------------------------------------------------------------------
 
 _LONGEST_FIRST = sorted(fv.METRO_CITIES, key=lambda c: -len(c))
-_CITY_MARK = "\x01"
+_CITY_MARK, _NAME_MARK = "\x01", "\x02"
 
 
 def metro_cities(df: DataFrame) -> DataFrame:
@@ -328,12 +336,14 @@ def metro_cities(df: DataFrame) -> DataFrame:
     """
     text = F.col("_text")
     cities = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(i).alias("i")) for i, c in enumerate(_LONGEST_FIRST)])
-    front = F.lit(edges(r"(?<!\b(?:Dr|Mr|Ms|Mrs|Mx)\.?[ \t]{1,4})\b"))
+    honorific, front = F.lit(edges(r"(\b(?:Dr|Mr|Ms|Mrs|Mx)\.?[ \t]+)")), F.lit(edges(r"\b"))
     back = F.lit(edges(r"\b(?![ \t]+[A-Z][a-z])"))
 
     def step(t: Column, city: Column) -> Column:
         mark = F.concat(F.lit(_CITY_MARK), city["i"].cast("string"), F.lit(_CITY_MARK))
-        return F.when(tx.contains(t, city["c"]), F.regexp_replace(t, F.concat(front, city["c"], back), mark)).otherwise(t)
+        # A person's name is set aside while the city is marked, whatever blanks follow the honorific.
+        aside = F.regexp_replace(t, F.concat(honorific, city["c"], F.lit(edges(r"\b"))), F.lit("$1" + _NAME_MARK))
+        return F.when(tx.contains(t, city["c"]), F.replace(F.regexp_replace(aside, F.concat(front, city["c"], back), mark), F.lit(_NAME_MARK), city["c"])).otherwise(t)
 
     marked = df.withColumn("_text", F.when(text.rlike("|".join(_LONGEST_FIRST)), F.aggregate(cities, text, step)).otherwise(text))
     names = F.array(*[F.lit(c) for c in _LONGEST_FIRST])
@@ -399,9 +409,13 @@ def sweep_patient(df: DataFrame) -> DataFrame:
 
 # ---- residual pass -------------------------------------------------------------------
 
-_WORD = r"(?:[A-Z]-)?[A-Z][a-z]+(?:[A-Z][a-z]+)*"
-_NAME = rf"{_WORD}(?:['\-]{_WORD})*"
-RESIDUAL = rf"\[[A-Z][A-Z0-9_]*\]|{_NAME}(?:[ \t]+{_NAME})*|\d{{5,}}"
+# A chain of names as one loop over single characters, each allowed by its neighbours alone, so that a chain of any length
+# needs no stack: small letters follow letters; capitals begin a word or follow small letters, and small letters or a
+# hyphenated word follow them; apostrophes and hyphens stand before a word, blanks before blanks or a word.
+_BEGIN = r"(?:[A-Z]-)?[A-Z][a-z]"
+_NEXT = rf"(?<=[A-Za-z])[a-z]|[A-Z][a-z]|(?<![A-Za-z])[A-Z]-[A-Z][a-z]|[ \t](?:[ \t]|{_BEGIN})|['\-]{_BEGIN}"
+_CHAIN = rf"(?={_BEGIN})[A-Z](?:(?={_NEXT}|(?<=[A-Z])-[A-Z][a-z])[A-Za-z'\- \t])+(?<=[a-z])"
+RESIDUAL = rf"\[[A-Z][A-Z0-9_]*\]|{_CHAIN}|\d{{5,}}"
 
 
 def allowlisted(span: Column, allow: Iterable[str]) -> Column:

@@ -273,9 +273,17 @@ def push_absent(existing: Column, more: Column) -> Column:
     return F.when(more.isNull() | known, existing).otherwise(F.array_append(existing, more))
 
 
+# The keys that ``merged`` and the CPT correction read.
+SUPPLEMENT_KEYS = (
+    "symptom_duration", "surgical_approach", "diagnosis_codes", "functional_limitations", "imaging_findings",
+    "conservative_treatments_named", "conservative_treatment_duration", "cpt_code_valid",
+)
+
+
 def supplement_map(supplements: DataFrame) -> DataFrame:
-    """One map per case; the eight known keys bound its size, however many rows arrive."""
-    given = supplements.where(tx.nonblank("value").isNotNull()).groupBy("case_id", "key").agg(F.max(tx.strip("value")).alias("value"))
+    """One map per case: of several values of one key the last by ``seq``; only known keys, which bound its size."""
+    known = supplements.where(F.col("key").isin(*SUPPLEMENT_KEYS) & tx.nonblank("value").isNotNull())
+    given = known.groupBy("case_id", "key").agg(F.max_by(tx.strip("value"), F.struct("seq", "value")).alias("value"))
     return given.groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("supplements"))
 
 

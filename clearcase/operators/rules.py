@@ -98,22 +98,14 @@ def violations(rules: DataFrame) -> DataFrame:
     return rules.withColumn("violation", reason).where("violation IS NOT NULL")
 
 
-# Registries up to this many rules are broadcast; larger ones join by shuffle.
-MAX_BROADCAST_RULES = 10_000
-
-
 def load_rules(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
-    """The registry as a table; refuses to load when a rule breaks the gate.
-
-    Its rows are in the caller's hands, so their number is checked here: a small
-    registry is broadcast, and cases (few payers, so hot keys) need no shuffle.
-    """
+    """The registry as a table in its order (``ordinal``); refuses to load when a rule breaks the gate."""
     rows = rows if rows is not None else default_rules()
-    rules = spark.createDataFrame(rows, RULE)
+    rules = spark.createDataFrame([(*row, k) for k, row in enumerate(rows)], f"{RULE}, ordinal INT")
     bad = violations(rules).select("payer_id", "rule_cpt", "violation").take(1)
     if bad:
         raise ValueError(f"rule {bad[0].payer_id} {bad[0].rule_cpt} is {bad[0].violation}")
-    return F.broadcast(rules) if len(rows) <= MAX_BROADCAST_RULES else rules
+    return rules
 
 
 # ---- matching -----------------------------------------------------------------
@@ -130,12 +122,18 @@ def payer_id_of(payer: Column | str, aliases: list[tuple[str, str]] = fv.PAYER_A
 
 
 def with_rule(cases: DataFrame, rules: DataFrame) -> DataFrame:
-    """Each case with its rule's columns, null where no rule covers payer and CPT."""
-    ids = [r.payer_id for r in rules.select("payer_id").distinct().collect()]  # registry size, a dozen rows
-    payer_id = F.when(F.col("payer_name").isin(ids), F.col("payer_name")).otherwise(payer_id_of("payer_name"))
-    matched = cases.withColumn("case_payer_id", payer_id)
-    on = (matched.case_payer_id == rules.payer_id) & (matched.cpt_code == rules.rule_cpt)
-    return matched.join(rules.withColumnRenamed("payer_name", "rule_payer_name"), on, "left").drop(rules.payer_id)
+    """Each case once, with the columns of the first rule (by ``ordinal``) for its payer and CPT, null where none is.
+
+    A payer name that is a registered payer id stands for itself.  The optimizer broadcasts the registry by its size in
+    bytes; where it is too large, adaptive execution splits the few payers that hold most cases.
+    """
+    others = [c for c in rules.columns if c not in ("payer_id", "rule_cpt", "ordinal")]
+    first = rules.groupBy("payer_id", "rule_cpt").agg(F.min_by(F.struct(*others), "ordinal").alias("r")).select("payer_id", "rule_cpt", "r.*")
+    known = rules.select(F.col("payer_id").alias("known_id")).distinct()
+    named = cases.join(known, F.col("payer_name") == F.col("known_id"), "left")
+    matched = named.withColumn("case_payer_id", F.coalesce("known_id", payer_id_of("payer_name"))).drop("known_id")
+    on = (matched.case_payer_id == first.payer_id) & (matched.cpt_code == first.rule_cpt)
+    return matched.join(first.withColumnRenamed("payer_name", "rule_payer_name"), on, "left").drop(first.payer_id)
 
 
 def is_validated() -> Column:

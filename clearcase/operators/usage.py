@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clearcase import fixed_values as fv
+from clearcase.sources.tables import settled
 
 
 def month_of(ts: Column | str) -> Column:
@@ -86,16 +87,17 @@ def position_by_time(rows: DataFrame, at: str, bucket: int) -> DataFrame:
 
 
 def send_batches(emails: DataFrame, key: str, size: int = fv.EMAIL_BATCH) -> DataFrame:
-    """Batch numbers of ``size`` consecutive rows in ``key`` order, without a single-task sort.
+    """Batch numbers of ``size`` consecutive rows in ``key`` order, for keys of any type that sorts.
 
-    ``key`` is a unique number; counts per block of keys are summed up first and
-    each block is numbered on its own.
+    Rows are dealt into ranges of the key and written, since ranges are cut by sampling; counts per range give each
+    range its offset, and each is numbered on its own.
     """
-    blocks = emails.withColumn("block", F.floor(F.col(key) / 100_000))
-    counts = blocks.groupBy("block").agg(F.count("*").alias("n"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    ranked = blocks.withColumn("rn", F.row_number().over(Window.partitionBy("block").orderBy(key)))
-    return ranked.join(offsets, "block").withColumn(
+    ranges = int(emails.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = settled(emails.repartitionByRange(ranges, key).withColumn("range", F.spark_partition_id()))
+    counts = dealt.groupBy("range").agg(F.count("*").alias("n"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    offsets = counts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    ranked = dealt.withColumn("rn", F.row_number().over(Window.partitionBy("range").orderBy(key)))
+    return ranked.join(F.broadcast(offsets), "range").withColumn(
         "batch", F.floor((F.col("offset") + F.col("rn") - 1) / size)
-    ).drop("block", "rn", "offset")
+    ).drop("range", "rn", "offset")
