@@ -211,11 +211,11 @@ FROM (SELECT *, 1 AS attempt FROM orders UNION ALL SELECT *, 2 AS attempt FROM o
 BINDINGS["supplements"] = f"""
 SELECT o_orderkey AS case_id, {pick(['symptom_duration', 'surgical_approach', 'diagnosis_codes', 'functional_limitations', 'imaging_findings', 'conservative_treatments_named', 'conservative_treatment_duration', 'cpt_code_valid'], 'o_orderkey + s.k')} AS key,
        CASE {pick(['symptom_duration', 'surgical_approach', 'diagnosis_codes', 'functional_limitations', 'imaging_findings', 'conservative_treatments_named', 'conservative_treatment_duration', 'cpt_code_valid'], 'o_orderkey + s.k')}
-         WHEN 'symptom_duration' THEN ' 8 months ' WHEN 'surgical_approach' THEN 'posterior approach' WHEN 'diagnosis_codes' THEN 'm17.11'
+         WHEN 'symptom_duration' THEN CASE WHEN s.k = 8 THEN '10 weeks' ELSE ' 8 months ' END WHEN 'surgical_approach' THEN 'posterior approach' WHEN 'diagnosis_codes' THEN 'm17.11'
          WHEN 'functional_limitations' THEN 'Cannot climb stairs' WHEN 'imaging_findings' THEN 'KL grade 4 on repeat film'
          WHEN 'conservative_treatments_named' THEN 'Aquatic therapy' WHEN 'conservative_treatment_duration' THEN '16 weeks'
-         ELSE 'use 29827 or 99999' END AS value
-FROM (SELECT *, 0 AS k FROM orders UNION ALL SELECT *, 3 AS k FROM orders UNION ALL SELECT *, 5 AS k FROM orders ) s"""
+         ELSE 'use 29827 or 99999' END AS value, s.k AS seq
+FROM (SELECT *, 0 AS k FROM orders UNION ALL SELECT *, 3 AS k FROM orders UNION ALL SELECT *, 5 AS k FROM orders UNION ALL SELECT *, 8 AS k FROM orders ) s"""
 
 # Repeated evaluation runs: one per lineitem; run order by line number.
 BINDINGS["eval_runs"] = f"""

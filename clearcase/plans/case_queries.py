@@ -390,10 +390,10 @@ def fixed_records(spark, sf):
 
 
 _SUP = f"""{o.NORM}, {cte('supplements')},
-sup AS (SELECT case_id, max(CASE WHEN key = 'symptom_duration' THEN trim(value) END) AS s_sym, max(CASE WHEN key = 'surgical_approach' THEN trim(value) END) AS s_app,
-   max(CASE WHEN key = 'diagnosis_codes' THEN trim(value) END) AS s_dx, max(CASE WHEN key = 'functional_limitations' THEN trim(value) END) AS s_lim,
-   max(CASE WHEN key = 'imaging_findings' THEN trim(value) END) AS s_img, max(CASE WHEN key = 'conservative_treatments_named' THEN trim(value) END) AS s_named,
-   max(CASE WHEN key = 'conservative_treatment_duration' THEN trim(value) END) AS s_dur, max(CASE WHEN key = 'cpt_code_valid' THEN trim(value) END) AS s_cpt
+sup AS (SELECT case_id, arg_max(trim(value), seq) FILTER (WHERE key = 'symptom_duration') AS s_sym, arg_max(trim(value), seq) FILTER (WHERE key = 'surgical_approach') AS s_app,
+   arg_max(trim(value), seq) FILTER (WHERE key = 'diagnosis_codes') AS s_dx, arg_max(trim(value), seq) FILTER (WHERE key = 'functional_limitations') AS s_lim,
+   arg_max(trim(value), seq) FILTER (WHERE key = 'imaging_findings') AS s_img, arg_max(trim(value), seq) FILTER (WHERE key = 'conservative_treatments_named') AS s_named,
+   arg_max(trim(value), seq) FILTER (WHERE key = 'conservative_treatment_duration') AS s_dur, arg_max(trim(value), seq) FILTER (WHERE key = 'cpt_code_valid') AS s_cpt
    FROM supplements GROUP BY 1),
 m AS (SELECT norm.*, sup.* EXCLUDE (case_id) FROM norm LEFT JOIN sup ON sup.case_id = norm.case_id)"""
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings that decide results (time zone) or plan shape (adaptive execution).
@@ -33,19 +31,6 @@ def local_session(cores: int | str = 8, name: str = "clearcase") -> SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir.
-
-    Only where the session names none (tests) a temporary folder is set.
-    """
+    """The shared folder in spark.checkpoint.dir; where none is set (tests), a folder of the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        spark.sparkContext.setCheckpointDir(named)
-        return named
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return named.rstrip("/") if named else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"

@@ -2,27 +2,47 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clearcase.session import checkpoint_dir
 
+_OWNERS: list[list[str]] = []
+
 
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read back.
 
     Cuts lineage between heavy stages: a lost executor re-reads files instead of
     redoing the stage, readers prune columns, and the optimizer does not have to
-    plan both stages as one.
+    plan both stages as one.  Inside ``owned`` the folder goes with its owner; a
+    query that returns before it is read leaves it to the cluster's clean-up of
+    that folder.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/settled-{uuid.uuid4().hex}"
+    if _OWNERS:
+        _OWNERS[-1].append(path)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
+@contextlib.contextmanager
+def owned(spark: SparkSession) -> Iterator[None]:
+    """Tables settled inside are deleted on leaving, whether the work succeeded or not."""
+    _OWNERS.append([])
+    try:
+        yield
+    finally:
+        for path in _OWNERS.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def append_usage(rows: DataFrame, path: str, at: str = "created_at") -> None:
     """Usage rows appended by month, so a bill reads its own partition only."""
     rows.withColumn("period", F.date_format(at, "yyyy-MM")).write.mode("append").partitionBy("period").parquet(path)

@@ -19,7 +19,7 @@ from clearcase import fixed_values as fv
 from clearcase.operators import deid
 from clearcase.operators import events as ev
 from clearcase.operators import verify as vf
-from clearcase.sources.tables import settled
+from clearcase.sources.tables import owned, settled
 
 WIDTH_MS = fv.REQUEST_WINDOW_SECONDS * 1000
 BREACH = "event_id BIGINT, class STRING, key BIGINT, in_window BIGINT"
@@ -107,9 +107,10 @@ def metered(partials: DataFrame) -> DataFrame:
 def phi_gate(texts: DataFrame, key: str, clean_path: str, quarantine_path: str, checkpoint: str, allow: list[str] | None = None):
     """Texts de-identified and verified per batch: clean text to one sink, leak reports to the other."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        checked = settled(vf.verified(settled(deid.deidentify(batch, "text", allow)), allow=allow))
-        clean, report = vf.gate(checked, key)
-        clean.write.mode("overwrite").parquet(f"{clean_path}/batch={batch_id}")
-        report.write.mode("overwrite").parquet(f"{quarantine_path}/batch={batch_id}")
+        with owned(batch.sparkSession):  # the token maps hold raw values
+            checked = settled(vf.verified(settled(deid.deidentify(batch, "text", allow)), allow=allow))
+            clean, report = vf.gate(checked, key)
+            clean.write.mode("overwrite").parquet(f"{clean_path}/batch={batch_id}")
+            report.write.mode("overwrite").parquet(f"{quarantine_path}/batch={batch_id}")
 
     return texts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,12 +2,14 @@
 
 import hashlib
 import hmac
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from clearcase import fixed_values as fv
 from clearcase.functions import text as tx
+from clearcase.operators import access as ac
 from clearcase.operators import letters as lt
 from clearcase.operators import normalize as nz
 from clearcase.operators import rules as rl
@@ -136,15 +138,49 @@ def test_files_appends_and_settling(spark, tmp_path):
     assert tb.settled(rows).count() == 1
 
 
-def test_small_registry_is_broadcast_and_large_one_is_not(spark, sf, monkeypatch):
+def test_registry_is_broadcast_by_its_size_and_first_rule_counts(spark, sf):
     from clearcase.plans.case_queries import records
 
-    def plan():
-        return rl.with_rule(records(spark, sf), rl.load_rules(spark))._jdf.queryExecution().executedPlan().toString()
+    def ran(rows=None):
+        df = rl.with_rule(records(spark, sf), rl.load_rules(spark, rows))
+        return df.select("case_id", "case_payer_id", "validation_status").collect(), df
 
-    assert "BroadcastHashJoin" in plan() and "SortMergeJoin" not in plan()
-    monkeypatch.setattr(rl, "MAX_BROADCAST_RULES", 0)
-    assert "BroadcastHashJoin" not in plan()
+    plain, df = ran()
+    own = rl.default_rules()
+    doubled, _ = ran([*own, *[(*row[:3], "a later rule", *row[4:]) for row in own]])
+    assert sorted(plain) == sorted(doubled) and len(plain) == records(spark, sf).count()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled, other = ran()
+        assert sorted(shuffled) == sorted(plain) and "BroadcastHashJoin" not in other._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_last_supplement_counts(spark):
+    rows = [(1, "symptom_duration", "9 weeks", 1), (1, "symptom_duration", "10 weeks", 2), (1, "unknown", "x", 3), (1, "surgical_approach", " ", 4)]
+    got = nz.supplement_map(spark.createDataFrame(rows, "case_id LONG, key STRING, value STRING, seq INT")).collect()
+    assert [(r.case_id, r.supplements) for r in got] == [(1, {"symptom_duration": "10 weeks"})]
+
+
+def test_batches_of_string_keys(spark):
+    ids = [f"k{(i * 7919) % 1000:04d}" for i in range(173)]
+    got = usage.send_batches(spark.createDataFrame([(i,) for i in ids], "id STRING").repartition(5), "id", 50).collect()
+    assert {r.id: r.batch for r in got} == {i: k // 50 for k, i in enumerate(sorted(ids))}
+
+
+def test_last_update_counts(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id INT, v STRING")
+    updates = spark.createDataFrame([(1, "z", 1), (1, "c", 2)], "id INT, v STRING, at INT")
+    assert sorted(tuple(r) for r in ac.keyed_update(rows, "id", updates, "v", "at").collect()) == [(1, "c"), (2, "b")]
+
+
+def test_owned_tables_are_deleted(spark):
+    with tb.owned(spark):
+        path = tb.settled(spark.range(3)).inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert os.path.isdir(path)
+    assert not os.path.exists(path)
 
 
 def test_limitation_claims_and_anchor_runs(spark):
