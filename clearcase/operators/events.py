@@ -12,6 +12,9 @@ from clearcase import fixed_values as fv
 PROPS = "payer STRING, cpt_code STRING, duration_ms BIGINT, hard_block_count BIGINT, stage STRING, leak_count BIGINT"
 
 
+SALTS = 16
+
+
 def with_props(events: DataFrame) -> DataFrame:
     return events.withColumn("p", F.from_json("props", PROPS))
 
@@ -25,21 +28,21 @@ def trailing_requests(requests: DataFrame) -> DataFrame:
     """Requests of the last 60 s per (class, key), and whether the budget is exceeded.
 
     A trailing window of an event reaches only its own minute and the one
-    before.  Each row is therefore placed in its minute and, as context, in the
-    next one; the window runs per (class, key, minute).  One key holding a third
-    of all requests spreads over as many groups as it has active minutes.
+    before.  Requests are first counted per millisecond, so that a minute of a
+    key is 60,000 rows at most, however many requests it sends; each count is
+    placed in its minute and, as context, in the next one, and the window runs
+    per (class, key, minute).  The counts join back to the requests.
     """
     width = fv.REQUEST_WINDOW_SECONDS * 1000
     minute = F.floor(F.col("at_ms") / width)
-    placed = requests.select(
+    counts = requests.groupBy("class", "key", "at_ms").agg(F.count("*").alias("n"))
+    placed = counts.select(
         "*", F.explode(F.array(F.struct(minute.alias("m"), F.lit(True).alias("own")),
                                F.struct((minute + 1).alias("m"), F.lit(False).alias("own")))).alias("slot")
     )
     trail = Window.partitionBy("class", "key", "slot.m").orderBy("at_ms").rangeBetween(-width, 0)
-    return (
-        placed.withColumn("in_window", F.count("*").over(trail)).where("slot.own").drop("slot")
-        .withColumn("breach", F.col("in_window") > limit_of(F.col("class")))
-    )
+    summed = placed.withColumn("in_window", F.sum("n").over(trail)).where("slot.own").select("class", "key", "at_ms", "in_window")
+    return requests.join(summed, ["class", "key", "at_ms"]).withColumn("breach", F.col("in_window") > limit_of(F.col("class")))
 
 
 def sliding_counts(requests: DataFrame, at: str = "at") -> DataFrame:
@@ -72,14 +75,18 @@ def latency_by_payer(events: DataFrame) -> DataFrame:
 def funnel(events: DataFrame) -> DataFrame:
     """Per user: first start, first success after it, first export after that.
 
-    Each step joins a one-row-per-user table back to the events, broadcast only
-    if the optimizer's size statistics allow; aggregates combine map-side, so a
-    heavy user never gathers in one task.
+    Equal (user, kind, time) are one row, and a step keeps, map-side, the least
+    time per user that is late enough.  The one-row-per-user table meets the
+    events salted, so that a user with a third of all events is dealt out.
     """
-    of = lambda kind: events.where(F.col("event") == kind).select("user_id", "ts")
+    kinds = ("pa_generation_started", "pa_generation_succeeded", "pa_exported")
+    times = events.where(F.col("event").isin(*kinds)).select("user_id", "event", "ts").distinct()
+    salt = F.pmod(F.xxhash64("ts"), F.lit(SALTS)).cast("int")
+    of = lambda kind: times.where(F.col("event") == kind).select("user_id", "ts")
 
     def first_after(kind: str, prior: DataFrame, at: str, out: str) -> DataFrame:
-        later = of(kind).join(prior.select("user_id", at), "user_id").where(F.col("ts") >= F.col(at))
+        known = prior.where(F.col(at).isNotNull()).select("user_id", at, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        later = of(kind).withColumn("salt", salt).join(known, ["user_id", "salt"]).where(F.col("ts") >= F.col(at))
         return prior.join(later.groupBy("user_id").agg(F.min("ts").alias(out)), "user_id", "left")
 
     started = of("pa_generation_started").groupBy("user_id").agg(F.min("ts").alias("started_at"))

@@ -211,22 +211,27 @@ def earned_weight_long_form(spark, sf):
     return factors.groupBy("case_id").agg(F.sum(F.col("score") * F.col("weight")).alias("points"))
 
 
+_FACTORS = {"conservative_treatments_named": "f_named", "conservative_treatment_duration": "f_dur0", "imaging_findings": "f_img", "symptom_duration": "f_sym",
+            "functional_limitations": "f_lim", "diagnosis_codes": "f_dx", "surgical_approach": "f_app", "cpt_code_valid": "f_cpt"}
+
+
 @query("factor_failure_rates", f"""WITH {o.SCORED}
-SELECT cpt_code, count(*) AS n, count(*) FILTER (f_named = 0) AS named, count(*) FILTER (f_dur0 = 0) AS duration, count(*) FILTER (f_img = 0) AS imaging FROM scored GROUP BY 1""")
+SELECT cpt_code, count(*) AS n, {', '.join(f'count(*) FILTER ({f} = 0) AS {k}' for k, f in _FACTORS.items())} FROM scored GROUP BY 1""")
 def factor_failure_rates(spark, sf):
-    failed = lambda k: F.count_if(F.col(f"strength.{k}.score") == 0)
-    return sc.scored(records(spark, sf)).groupBy("cpt_code").agg(
-        F.count("*").alias("n"), failed("conservative_treatments_named").alias("named"),
-        failed("conservative_treatment_duration").alias("duration"), failed("imaging_findings").alias("imaging"))
+    failed = [F.count_if(F.col(f"strength.{k}.score") == 0).alias(k) for k in _FACTORS]
+    return sc.scored(records(spark, sf)).groupBy("cpt_code").agg(F.count("*").alias("n"), *failed)
 
 
-@query("duration_parsing", f"""WITH {o.NORM}
-SELECT case_id, {o.symptom_weeks('symptom_duration')} AS symptom_weeks, {o.weeks("treatments[1].duration")} AS first_weeks,
-       coalesce({o.has_duration("treatments[1].duration")}, false) AS first_has_duration FROM norm""")
+@query("duration_parsing", f"""WITH {o.NORM}, t AS (
+  SELECT case_id, NULL AS pos, symptom_duration AS d FROM norm
+  UNION ALL SELECT case_id, generate_subscripts(treatments, 1) - 1, unnest(treatments).duration FROM norm)
+SELECT case_id, pos, CASE WHEN pos IS NULL THEN {o.symptom_weeks('d')} ELSE {o.weeks("d")} END AS weeks, coalesce({o.has_duration("d")}, false) AS has_duration FROM t""")
 def duration_parsing(spark, sf):
-    first = F.get("treatments", F.lit(0))["duration"]
-    return records(spark, sf).select("case_id", tx.symptom_weeks("symptom_duration").alias("symptom_weeks"),
-                                     F.coalesce(tx.payer_weeks(first), F.lit(0)).alias("first_weeks"), tx.has_duration(first).alias("first_has_duration"))
+    """The symptom's and every treatment's duration."""
+    stated = records(spark, sf).select("case_id", F.lit(None).cast("bigint").alias("pos"), F.col("symptom_duration").alias("d")).unionByName(
+        records(spark, sf).select("case_id", F.posexplode("treatments").alias("pos", "t")).select("case_id", F.col("pos").cast("bigint").alias("pos"), F.col("t.duration").alias("d")))
+    weeks = F.when(F.col("pos").isNull(), tx.symptom_weeks("d")).otherwise(F.coalesce(tx.payer_weeks(F.col("d")), F.lit(0)))
+    return stated.select("case_id", "pos", weeks.alias("weeks"), tx.has_duration(F.col("d")).alias("has_duration"))
 
 
 @query("factor_guidance", f"""WITH {o.SCORED}

@@ -14,9 +14,12 @@ from clearcase.sources.tables import settled
 
 _M = "(?:" + "|".join(fv.MONTH_NAMES) + ")"
 
-# Patterns as RE2 reads them: its \b has ASCII word edges, like the ones we spell out.
+# Patterns as RE2 reads them: its \b has ASCII word edges, like the ones we spell out.  Streets are stated apart from the
+# operator's own form.
+_STREET_KINDS = "Street|St|Avenue|Ave|Boulevard|Blvd|Drive|Dr|Road|Rd|Lane|Ln|Way|Court|Ct|Place|Pl"
+_STREET_LINE = rf"\b\d{{1,5}}\s+[A-Z][a-zA-Z]+(?:\s+[A-Za-z]+)*\s+(?:{_STREET_KINDS})\.?"
 RE2 = {
-    "ssn": deid.SSN, "phone": deid.PHONE, "email": deid.EMAIL, "url": deid.URL, "ip": deid.IPV4, "address": deid.STREET,
+    "ssn": deid.SSN, "phone": deid.PHONE, "email": deid.EMAIL, "url": deid.URL, "ip": deid.IPV4, "address": _STREET_LINE + r"(?:\s+(?:Suite|Ste|Apt|Unit)\.?\s*[A-Z0-9]+)?\b",
     "po_box": r"(?i)\bP\.?\s?O\.?\s*Box\s+\d+\b", "age": r"(?i)\b\d{1,3}[- ]year[- ]old\b", "facility": deid.FACILITY,
     "provider_titled": r"\bDr\.?[ \t]+[A-Z][a-zA-Z'\-]+(?:[ \t]+[A-Z][a-zA-Z'\-]+)?\b",
     "provider_credentialed": r"\b[A-Z][a-zA-Z'\-]+(?:[ \t][A-Z]\.?)?(?:[ \t][A-Z][a-zA-Z'\-]+)?,?[ \t]+(?:MD|D\.?O\.?|PA-C|NP|RN|DPM)\b",
@@ -70,9 +73,9 @@ def chart_name_spans(spark, sf):
     return _as_long(deid.spans(bound(spark, sf, "charts"), "chart_id", "text", *NAME_SPANS))
 
 
-@query("page_url_spans", exploded_sql("pages", "page_id", "html", "url", "email", "ip"))
+@query("page_url_spans", exploded_sql("pages", "page_id", "html", *ID_SPANS, *DATE_SPANS, *NAME_SPANS))
 def page_url_spans(spark, sf):
-    return _as_long(deid.spans(table(spark, sf, "pages"), "page_id", "html", "url", "email", "ip"))
+    return _as_long(deid.spans(table(spark, sf, "pages"), "page_id", "html", *ID_SPANS, *DATE_SPANS, *NAME_SPANS))
 
 
 _NUMBERED = f"""WITH {cte('charts')}, sp AS ({exploded_sql('charts', 'chart_id', 'text', 'phone', 'ssn', 'provider_titled')}),
@@ -147,7 +150,8 @@ def conversation_shared_tokens(spark, sf):
     return both.select("conv_id", "first_redacted", "last_redacted", F.size("tokens").alias("tokens"))
 
 
-_COUNTS = {k: p.replace(tx.MONTH, _M) for k, (p, _) in vf.DETECTORS.items()}
+_COUNTS = {k: p.replace(tx.MONTH, _M) for k, (p, _) in vf.DETECTORS.items()} | {
+    "address_street": rf"(?i){_STREET_LINE}\b|\bP\.?\s?O\.?\s*Box\s+\d+\b"}
 
 
 @query("document_pattern_counts", "SELECT doc_id, " + ", ".join(

@@ -143,15 +143,15 @@ def letter_absence_language(spark, sf):
     return bound(spark, sf, "drafts").select("case_id", "attempt", lt.without_absence_language(F.col("text")).alias("letter"))
 
 
-@query("letter_bmi_asa", f"""WITH {LETTERS}, b AS (SELECT *, {"CASE WHEN bmi = floor(bmi) THEN CAST(CAST(bmi AS BIGINT) AS VARCHAR) ELSE CAST(bmi AS VARCHAR) END"} AS shown FROM l WHERE attempt = 1),
+@query("letter_bmi_asa", f"""WITH {LETTERS}, b AS (SELECT *, {"CASE WHEN bmi = floor(bmi) THEN CAST(CAST(bmi AS BIGINT) AS VARCHAR) ELSE CAST(bmi AS VARCHAR) END"} AS shown FROM l),
 s AS (SELECT *, CASE WHEN bmi >= 30 THEN regexp_replace(letter, '(?i)(CLINICAL HISTORY AND PRESENTING COMPLAINT\\s*\\n+[^.!?]+[.!?])', '\\1 The patient has a documented BMI of ' || shown || ', ' ||
     CASE WHEN bmi >= 40 THEN 'Class III' WHEN bmi >= 35 THEN 'Class II' ELSE 'Class I' END || ' obesity, which represents a significant contributor to articular cartilage loading and disease progression.')
   WHEN bmi >= 25 AND asa_classification IS NOT NULL THEN regexp_replace(letter, '(?i)(REQUESTED PROCEDURE\\s*\\n+)', '\\1The patient''s BMI of ' || shown || ' and ASA ' || asa_classification || ' classification have been factored into the perioperative surgical plan. ')
   ELSE letter END AS w FROM b)
-SELECT case_id, CASE WHEN asa_classification IS NOT NULL AND NOT regexp_matches(w, '(?i)\\bASA\\b') THEN regexp_replace(w, '(?i)(REQUESTED PROCEDURE\\s*\\n+)',
+SELECT case_id, attempt, CASE WHEN asa_classification IS NOT NULL AND NOT regexp_matches(w, '(?i)\\bASA\\b') THEN regexp_replace(w, '(?i)(REQUESTED PROCEDURE\\s*\\n+)',
    '\\1The patient carries an ASA ' || asa_classification || ' classification, reflecting the anesthetic risk profile accounted for in the perioperative surgical plan. ') ELSE w END AS letter FROM s""")
 def letter_bmi_asa(spark, sf):
-    return letters(spark, sf).where("attempt = 1").select("case_id", lt.with_bmi_and_asa(F.col("letter")).alias("letter"))
+    return letters(spark, sf).select("case_id", "attempt", lt.with_bmi_and_asa(F.col("letter")).alias("letter"))
 
 
 @query("letter_duplicate_drafts")
