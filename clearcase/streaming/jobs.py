@@ -22,42 +22,41 @@ from clearcase.operators import verify as vf
 from clearcase.sources.tables import owned, settled
 
 WIDTH_MS = fv.REQUEST_WINDOW_SECONDS * 1000
-BREACH = "event_id BIGINT, class STRING, key BIGINT, in_window BIGINT"
+BREACH = "class STRING, key BIGINT, at_ms BIGINT, requests BIGINT, in_window BIGINT"
 STATE = "times ARRAY<BIGINT>, counts ARRAY<BIGINT>"
 
 
 def _trailing(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
-    """Trailing counts of one (class, key, minute) from this batch and the times seen before.
+    """Trailing counts of one (class, key, minute), given when the watermark has passed the minute.
 
-    State holds one counter per millisecond of two minutes, so it is bounded
-    however many requests a key sends.
+    Until then rows may still come in any order.  State holds one counter per
+    millisecond of two minutes, so it is bounded however many requests a key sends.
     """
     if state.hasTimedOut:
+        times, counts = (np.array(x, dtype="int64") for x in state.get)
         state.remove()
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        own = np.flatnonzero(times // WIDTH_MS == int(key[2]))
+        seen = upto[own + 1] - upto[np.searchsorted(times, times[own] - WIDTH_MS, side="left")]
+        yield pd.DataFrame({"class": key[0], "key": key[1], "at_ms": times[own], "requests": counts[own], "in_window": seen})
         return
-    rows = pd.concat(list(batches)).sort_values("at_ms")
+    new = np.concatenate([b["at_ms"].to_numpy("int64") for b in batches])
     times, counts = (np.array(x, dtype="int64") for x in state.get) if state.exists else (np.array([], "int64"), np.array([], "int64"))
-    new_times, new_counts = np.unique(rows["at_ms"].to_numpy("int64"), return_counts=True)
-    merged, where = np.unique(np.concatenate([times, new_times]), return_inverse=True)
-    total = np.bincount(where, weights=np.concatenate([counts, new_counts])).astype("int64")
-    upto = np.concatenate([[0], np.cumsum(total)])
-    own = rows[rows["own"]]
-    at = own["at_ms"].to_numpy("int64")
-    seen = upto[np.searchsorted(merged, at, side="right")] - upto[np.searchsorted(merged, at - WIDTH_MS, side="left")]
+    merged, where = np.unique(np.concatenate([times, new]), return_inverse=True)
+    total = np.bincount(where, weights=np.concatenate([counts, np.ones(len(new))])).astype("int64")
     state.update((merged.tolist(), total.tolist()))
-    end_of_slot = (int(key[2]) + 1) * WIDTH_MS
-    state.setTimeoutTimestamp(max(end_of_slot, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame({"event_id": own["event_id"], "class": key[0], "key": key[1], "in_window": seen})
+    state.setTimeoutTimestamp(max((int(key[2]) + 1) * WIDTH_MS, state.getCurrentWatermarkMs() + 1))
 
 
 def limit_breaches(requests: DataFrame, delay: str = "30 seconds") -> DataFrame:
-    """Requests with their trailing 60 s count, flagged past the budget; needs columns at_ms, class, key, event_id.
+    """Requests per class, key and millisecond with their trailing 60 s count, flagged past the budget.
 
-    As in batch, a request belongs to its minute and, as context, to the next,
-    so a busy key spreads over its minutes.
+    Needs columns at_ms, class, key.  As in batch, a request belongs to its minute and, as context, to the next, so a
+    busy key spreads over its minutes.  A minute is given once the watermark has passed it, so rows that arrive out of
+    order, but within ``delay``, count wherever they belong.
     """
     minute = F.floor(F.col("at_ms") / WIDTH_MS)
-    slots = F.array(F.struct(minute.alias("m"), F.lit(True).alias("own")), F.struct((minute + 1).alias("m"), F.lit(False).alias("own")))
+    slots = F.array(F.struct(minute.alias("m")), F.struct((minute + 1).alias("m")))
     placed = requests.withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", delay).select("*", F.inline(slots))
     counted = placed.groupBy("class", "key", "m").applyInPandasWithState(_trailing, BREACH, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return counted.withColumn("breach", F.col("in_window") > ev.limit_of(F.col("class")))

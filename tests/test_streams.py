@@ -37,10 +37,17 @@ def requests(spark, sf):
     return bound(spark, sf, "requests").withColumn("at_ms", F.col("at_ms") + 86_400_000).cache()
 
 
-def test_limit_breaches(spark, requests, tmp_path):
-    got = collected(spark, jobs.limit_breaches(as_stream(spark, requests, tmp_path, "at_ms")), "breaches")
-    want = ev.trailing_requests(requests)
-    cols = ("event_id", "class", "key", "in_window", "breach")
+def test_limit_breaches_of_rows_out_of_order(spark, requests, tmp_path):
+    """Arrival is shuffled by up to 25 s, within the delay; a last row far ahead lets the watermark pass all others."""
+    last = requests.agg(F.max("at_ms")).first()[0]
+    closing = requests.limit(1).withColumn("at_ms", F.lit(last + 3_600_000).cast("bigint"))
+    burst = requests.limit(1).drop("at_ms").crossJoin(spark.range(80).select((F.lit(last - 100_000) + F.col("id") * 1100).cast("bigint").alias("at_ms"))).select(*requests.columns)
+    every = requests.unionByName(burst)
+    shuffled = every.withColumn("arrives", F.col("at_ms") + F.pmod(F.xxhash64("event_id", "at_ms"), F.lit(25_000)))
+    source = as_stream(spark, shuffled.unionByName(closing.withColumn("arrives", F.col("at_ms"))), tmp_path, "arrives", files=6)
+    got = collected(spark, jobs.limit_breaches(source), "breaches").where(F.col("at_ms") <= last)
+    want = ev.trailing_requests(every).groupBy("class", "key", "at_ms", "in_window", "breach").agg(F.count("*").alias("requests"))
+    cols = ("class", "key", "at_ms", "requests", "in_window", "breach")
     assert rows(got, *cols) == rows(want, *cols)
     assert want.where("breach").count() > 0
 
