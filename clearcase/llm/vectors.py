@@ -17,7 +17,7 @@ from clearcase.llm.components import components
 
 COSINE = 0.95
 #: Coordinates of a block, and rows of one side of a comparison.
-BLOCK, TILE = 8, 4000
+BLOCK, TILE = 16, 20_000
 #: Room for rounding in block distances; links themselves are decided on the whole vectors.
 SLACK = 1e-9
 
@@ -94,7 +94,7 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "ve
     classes = written(classes.mapInArrow(packed, "key string, class long, id long, n long, v binary"))
     total = classes.count()
     # Grid coordinates follow the logarithm of the rows, so that cells stay about as full.
-    used = max(1, min(BLOCK, round(math.log2(total + 1) / 5)))
+    used = max(1, min(BLOCK // 2, round(math.log2(total + 1) / 5)))
 
     def cells(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int, bool]]:
         """(rows, cell codes, block, home) of a batch's visits."""
