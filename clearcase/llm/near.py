@@ -24,6 +24,8 @@ TOKENS, TREES, LEVELS, LEAF = 64, 12, 3, 48
 CANDIDATE = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / TOKENS) ** 0.5
 #: Documents and shingles of a candidate group that one task confirms; larger groups are confirmed in parts.
 GROUP, GROUP_SHINGLES = 2000, 2_000_000
+#: Rounds in which larger groups are compared with one of their documents.
+PIVOTS = 4
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -270,9 +272,7 @@ def confirmed(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """(a, b) links that span the components of truly similar documents within each candidate group.
 
     ``docs`` is (id, text), ``groups`` (id, component, size). Whole sets are made again for grouped documents only. A
-    group within one task's bounds is searched there. A larger group is cut into blocks; every pair of blocks meets in
-    one task that searches both, so all pairs of the group are covered, while a task holds two blocks and returns at
-    most a link per document.
+    group within one task's bounds is searched there; larger ones as ``confirmed_large`` says.
     """
     sums = groups.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("n") / GROUP, F.col("shingles") / GROUP_SHINGLES)).cast("int")
@@ -288,18 +288,8 @@ def confirmed(docs: DataFrame, groups: DataFrame) -> DataFrame:
             )
 
     sets = texts.mapInArrow(run, "id long, component long, blocks int, shingles binary")
-    dealt = written(sets.filter("blocks > 1").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    large = written(sets.filter("blocks > 1").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     small = sets.filter("blocks = 1").repartition("component").sortWithinPartitions("component", "id")
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "shingles"
-    )
-
-    def searched(part: pa.Table) -> pa.Table:
-        part = part.sort_by("id")
-        ids, shingles = part["id"].to_numpy(), part["shingles"].to_pylist()
-        first = Sets([np.frombuffer(s, dtype=np.uint64) for s in shingles]).groups(np.arange(len(ids)))
-        moved = np.flatnonzero(first != np.arange(len(ids)))
-        return pa.table({"a": ids[first[moved]], "b": ids[moved]})
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_runs(batches, "component"):
@@ -310,8 +300,60 @@ def confirmed(docs: DataFrame, groups: DataFrame) -> DataFrame:
             moved = np.flatnonzero(first != np.arange(len(ids)))
             yield pa.RecordBatch.from_arrays([pa.array(ids[first[moved]]), pa.array(ids[moved])], names=["a", "b"])
 
-    large = met.groupBy("component", "low", "high").applyInArrow(searched, "a long, b long")
-    return small.mapInArrow(each, "a long, b long").unionByName(large)
+    links = small.mapInArrow(each, "a long, b long")
+    return links.unionByName(confirmed_large(large)) if large.limit(1).count() else links
+
+
+def confirmed_large(large: DataFrame) -> DataFrame:
+    """Links (a, b) within groups that no task holds; ``large`` is (id, component, blocks, shingles, block), written.
+
+    In each of PIVOTS rounds the first document not reached yet is compared with all of its group, row by row. What the
+    links of these pivots connect need not be compared again. Of a group's other documents, if they fit into a block,
+    each meets every block of the group, so all pairs outside the largest connected part are covered at a cost in
+    proportion to the group. Only if more are left, every pair of blocks meets. Tasks hold two blocks at most and return
+    a link per document.
+    """
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = []
+            for one, other in zip(batch.column("shingles").to_pylist(), batch.column("pivot_shingles").to_pylist()):
+                a, b = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                hits.append(DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both))
+            yield batch.select(["pivot", "id"]).filter(pa.array(hits, pa.bool_()))
+
+    def searched(part: pa.Table) -> pa.Table:
+        part = part.sort_by("id")
+        ids, shingles = part["id"].to_numpy(), part["shingles"].to_pylist()
+        first = Sets([np.frombuffer(s, dtype=np.uint64) for s in shingles]).groups(np.arange(len(ids)))
+        moved = np.flatnonzero(first != np.arange(len(ids)))
+        return pa.table({"a": ids[first[moved]], "b": ids[moved]})
+
+    left, edges = large.select("id", "component").distinct(), None
+    for _ in range(PIVOTS):
+        pivots = left.groupBy("component").agg(F.min("id").alias("pivot"))
+        sets = pivots.join(large.select(F.col("id").alias("pivot"), F.col("shingles").alias("pivot_shingles")), "pivot")
+        hits = written(large.select("id", "component", "shingles").join(sets, "component").select("pivot", "id", "shingles", "pivot_shingles").mapInArrow(reached, "pivot long, id long"))
+        edges = hits if edges is None else edges.unionByName(hits)
+        left = written(left.join(hits.select("id").distinct(), "id", "left_anti"))
+        if not left.limit(1).count():
+            break
+    edges = edges.select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    labels = components(edges).withColumnRenamed("component", "label")
+    parts = large.select("id", "component").distinct().join(labels, "id", "left").select("id", "component", F.coalesce("label", "id").alias("label"))
+    parts = written(parts)
+    sizes = parts.groupBy("component", "label").agg(F.count("*").alias("n")).groupBy("component").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("rest")
+    )
+    rows = large.join(parts.join(sizes, "component").select("id", (F.col("label") == F.col("main")).alias("in_main"), "rest"), "id").filter("rest > 0")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    few = F.col("rest") <= GROUP
+    met = rows.withColumn("other", F.explode(F.when(few & F.col("in_main"), F.array("block")).otherwise(every))).select(
+        "component", F.when(few, F.col("other")).otherwise(F.least("block", "other")).alias("low"),
+        F.when(few, F.col("other")).otherwise(F.greatest("block", "other")).alias("high"), "id", "shingles",
+    )
+    return edges.unionByName(met.groupBy("component", "low", "high").applyInArrow(searched, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
