@@ -294,6 +294,15 @@ def test_scores(spark, edge, nothing):
     assert lm.scored(nothing).count() == 0
 
 
+def test_long_unseen_words_cost_by_their_length(spark):
+    held = [d for d in range(200) if zlib.crc32(str(d).encode()) % 7 == 2][:2]
+    draw = random.Random(5)
+    blob = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(8000))
+    texts = [(d, "some plain words of a text") for d in range(200) if d not in held] + [(held[0], blob[:4000]), (held[1], blob)]
+    found = {r["doc_id"]: r["score"] for r in lm.scored(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert found[held[0]] < -1000 and abs(found[held[1]] / found[held[0]] - 2) < 0.1
+
+
 def test_spelling_is_a_distribution(spark):
     words = spark.createDataFrame([(w,) for w in ("ab", "abc", "ba", "bb", "c")], "word string")
     model = lm.trained(words)
