@@ -7,6 +7,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -294,6 +296,50 @@ def test_scores(spark, edge, nothing):
     assert lm.scored(nothing).count() == 0
 
 
+def test_scores_know_the_words_before(spark):
+    held = [d for d in range(300) if zlib.crc32(str(d).encode()) % 7 == 2][:2]
+    draw, words = random.Random(6), [f"word{k}" for k in range(50)]
+    run = lambda at: " ".join(words[(at + 7 * k) % 50] for k in range(40))
+    mixed = run(3).split()
+    draw.shuffle(mixed)
+    texts = [(d, run(draw.randrange(50))) for d in range(300) if d not in held] + [(held[0], run(3)), (held[1], " ".join(mixed))]
+    found = {r["doc_id"]: r["score"] for r in lm.scored(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert found[held[0]] > found[held[1]] / 4
+
+
+def test_sequence_counts_equal_brute_force():
+    draw, texts = random.Random(7), []
+    for chunk in range(2):
+        texts.append([" ".join(draw.choice("abc") for _ in range(draw.randint(0, 6))) for _ in range(30)])
+    held = [k % 5 == 0 for k in range(30)]
+    tables = [lm.tokenized(pa.table({"chunk": pa.array([c] * 30, pa.int32()), "text": t, "doc_id": list(range(30)), "held_out": held, "language": pa.array([-1] * 30, pa.int32())}), 2)
+              for c, t in enumerate(texts)]
+    sent = pa.concat_tables(tables)
+    sent = sent.filter(pc.is_valid(sent["part"]))
+    back = pa.concat_tables([lm.sequence_counts(sent.filter(pc.equal(sent["part"], k))) for k in range(2)])
+    pairs, triples, ones = Counter(), Counter(), Counter()
+    padded = lambda t: [None, *t.split(), None]
+    for chunk in texts:
+        for t, h in zip(chunk, held):
+            if not h:
+                w = padded(t)
+                ones.update(w[1:])
+                pairs.update(zip(w, w[1:]))
+                triples.update(zip(w, w[1:], w[2:]))
+    for c, table in enumerate(tables):
+        words, bag = table.filter(pc.is_valid(table["word"])), table.filter(pc.is_valid(table["codes"])).select(["codes", "held_out"])
+        bag = pa.concat_tables([bag, back.filter(pc.equal(back["chunk"], c)).select(["part", "counts"])], promote_options="default")
+        hashes, count = words["hash"].to_numpy().view(np.uint64), np.array([ones[w or None] for w in words["word"].to_pylist()])
+        codes, _, place = lm.tokens_of(bag.filter(pc.is_valid(bag["codes"]))["codes"].to_pylist(), len(words) - 1)
+        _, (two, three) = lm.shares(codes, place, hashes, count, *lm.met(bag, hashes))
+        want = []
+        for t in texts[c]:
+            w = padded(t)
+            for k in range(1, len(w)):
+                want.append((pairs[w[k - 1], w[k]] / max(1, ones[w[k - 1]]), triples[tuple(w[k - 2 : k + 1])] / max(1, pairs[w[k - 2], w[k - 1]]) if k > 1 else 0))
+        assert np.allclose(np.stack([two, three], axis=1), want)
+
+
 def test_long_unseen_words_cost_by_their_length(spark):
     held = [d for d in range(200) if zlib.crc32(str(d).encode()) % 7 == 2][:2]
     draw = random.Random(5)
