@@ -95,8 +95,8 @@ def marks_of(text: str) -> set[bytes]:
     return found
 
 
-def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """Dictionary contents (ordinary, toxic).
+def dictionaries(toxic: list[str], ordinary: list[str], odds: float = 1.0) -> tuple[bytes, bytes]:
+    """Dictionary contents (ordinary, toxic); ``odds`` are those of a toxic label among all labels by those in the sample.
 
     Both hold the same ordinary windows. The toxic one goes on with what marks toxic texts: words and beginnings of words
     whose share of toxic documents is above chance by a likelihood ratio that allows for the number of marks tried. The
@@ -117,7 +117,7 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     def evidence(word: bytes) -> float:
         a, b = inside[word], outside[word]
         q = a / (a + b)
-        if q < max(share, PURITY) or a < 2:
+        if q < share or a * odds / (a * odds + b) < PURITY or a < 2:
             return 0.0
         return a * math.log(q / share) + (b * math.log((1 - q) / (1 - share)) if b else 0.0)
 
@@ -140,29 +140,37 @@ def calibrated(rows: np.ndarray, labels: np.ndarray) -> list[float]:
     return w.tolist()
 
 
-def fit(toxic: list[str], ordinary: list[str]) -> Model:
-    """Dictionaries from three quarters of each class, the threshold's curve from the rest (all, if that is too few)."""
+def fit(toxic: list[str], ordinary: list[str], odds: float = 1.0) -> Model:
+    """Dictionaries from three quarters of each class, the threshold's curve from the rest (all, if that is too few).
+
+    Where the classes were sampled at different rates, ``odds`` (the ordinary rate by the toxic one) puts purity and the
+    curve's constant back to the odds of all labels.
+    """
     quarter = lambda texts: ([t for k, t in enumerate(texts) if k % 4], [t for k, t in enumerate(texts) if k % 4 == 0])
     (toxic_fit, toxic_rest), (ordinary_fit, ordinary_rest) = quarter(toxic), quarter(ordinary)
-    model = Model(*dictionaries(toxic_fit, ordinary_fit), [0.0] * 4)
+    model = Model(*dictionaries(toxic_fit, ordinary_fit, odds), [0.0] * 4)
     gains = Gains(model)
     rows = np.array([gains(t) for t in toxic_rest + ordinary_rest], dtype=float).reshape(-1, 3)
     labels = np.array([1.0] * len(toxic_rest) + [0.0] * len(ordinary_rest))
     model.weights = calibrated(rows, labels) if len(labels) else [0.0, 0.0, 0.0, -5.0]
+    model.weights[-1] += math.log(odds)
     return model
 
 
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5, held: int = 0) -> Model:
     """A model from at most ``sample`` labelled documents of each class outside fold ``held``, the first by a hash of
-    the id. Those rows only come to the driver; rows with null ids, labels or texts are not used."""
+    the id. Those rows only come to the driver; rows with null ids, labels or texts are not used. The classes' true odds are
+    counted over all labels, so that thresholds mean the same at every size."""
     usable = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic"))
     usable = usable.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~in_fold(F.col("doc_id"), folds, held))
+    all_ = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    rate = [min(1.0, sample / all_[y]) if all_.get(y) else 1.0 for y in (0, 1)]
     order = F.xxhash64("doc_id")
     chosen = usable.filter("toxic = 1").orderBy(order, "doc_id").limit(sample).unionByName(usable.filter("toxic = 0").orderBy(order, "doc_id").limit(sample))
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).filter("text IS NOT NULL")
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").collect()  # at most 2 * sample ids
     rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"]))
-    return fit([r["text"] for r in rows if r["toxic"]], [r["text"] for r in rows if not r["toxic"]])
+    return fit([r["text"] for r in rows if r["toxic"]], [r["text"] for r in rows if not r["toxic"]], rate[0] / rate[1])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

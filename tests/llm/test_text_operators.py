@@ -263,6 +263,28 @@ def test_toxicity_is_learnt(spark, edge, nothing, labels):
     assert toxicity.trained(nothing, labels.limit(0)).weights
 
 
+def test_toxic_thresholds_do_not_follow_the_sample(spark):
+    draw = random.Random(8)
+    made = []
+    for k in range(4000):
+        toxic = k % 20 == 0
+        w = [draw.choice("the of and to in that it was for on with from when where then".split()) for _ in range(draw.randint(15, 40))]
+        # "blockhead" marks toxic texts only; "whatsoever" is in half of them and in one of ten others: 21 % of its texts are toxic.
+        if toxic and draw.random() < 0.6:
+            w.insert(draw.randrange(len(w)), "blockhead")
+        if draw.random() < (0.5 if toxic else 0.1):
+            w.insert(draw.randrange(len(w)), "whatsoever")
+        made.append((k, " ".join(w), int(toxic)))
+    docs = spark.createDataFrame([(d, t) for d, t, _ in made], "doc_id long, text string")
+    marks = spark.createDataFrame([(d, y) for d, _, y in made], "doc_id long, toxic int")
+    model = toxicity.trained(docs, marks, sample=200)
+    score = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, model).collect()}
+    weak = [score[d] for d, t, _ in made if "whatsoever" in t and "blockhead" not in t]
+    strong = [score[d] for d, t, _ in made if "blockhead" in t]
+    assert sum(x >= 0.5 for x in strong) > 0.5 * len(strong) and sum(x >= 0.5 for x in weak) < 0.05 * len(weak)
+    assert abs(sum(score.values()) / len(made) - 0.05) < 0.02
+
+
 def test_quality_of_edge_rows(edge, nothing, labels):
     model = quality.trained(edge, labels)
     assert quality.scored(edge, model).filter("score BETWEEN 0 AND 1").count() == len(ROWS)
