@@ -9,7 +9,7 @@ import random
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,10 @@ ORDINARY_BYTES, TOXIC_BYTES = 60_000, 32_000
 WINDOW_WORDS, WINDOW_BYTES = 10, 400
 #: The compressor starts no match in an input's last bytes; blanks keep a window's last word comparable.
 TAIL = b" " * 8
+#: Bytes of the shortest match: a word of three letters between blanks.
+MIN_MATCH = 5
+#: Words of the longest phrase that may mark a text.
+PHRASE = 3
 #: Share of the documents with a mark that must be toxic.
 PURITY = 0.75
 WORD = re.compile(r"[^\W\d_]+")
@@ -53,7 +57,7 @@ def windows(text: str) -> list[bytes]:
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
     params = zstandard.ZstdCompressionParameters(
-        window_log=17, hash_log=17, chain_log=17, search_log=4, min_match=6, target_length=64,
+        window_log=17, hash_log=17, chain_log=17, search_log=4, min_match=MIN_MATCH, target_length=64,
         strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0,
     )
     trained = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -87,19 +91,37 @@ def unlike(texts: Iterable[str]) -> list[str]:
 
 
 def marks_of(text: str) -> set[bytes]:
-    """What may mark a text: its words, and how its longer words begin."""
+    """What may mark a text: its words, how its longer words begin, and its phrases."""
     found = set()
     for word in set(WORD.findall(text.lower())):
         found.add(f" {word} ".encode("utf-8", "replace"))
         found.update(f" {word[:n]}".encode("utf-8", "replace") for n in range(4, min(len(word), 11)))
+    words = text.lower().encode("utf-8", "replace").split()
+    for n in range(2, PHRASE + 1):
+        found.update(b" %s " % b" ".join(run) for run in zip(*(words[k:] for k in range(n))))
     return found
 
 
+def counted(texts: list[str], wanted: Callable[[bytes], bool]) -> Counter:
+    """Texts with each wanted mark."""
+    found: Counter = Counter()
+    for text in texts:
+        found.update(filter(wanted, marks_of(text)))
+    return found
+
+
+def repeated(texts: list[str]) -> set[int]:
+    """crc32 of all marks that more than one text has; few marks have, and only those are counted."""
+    every = [np.unique(np.array([zlib.crc32(m) for m in marks_of(t)], np.uint32)) for t in texts]
+    value, n = np.unique(np.concatenate([np.zeros(0, np.uint32), *every]), return_counts=True)
+    return set(value[n > 1].tolist())
+
+
 def dictionaries(toxic: list[str], ordinary: list[str], odds: float = 1.0) -> tuple[bytes, bytes]:
     """Dictionary contents (ordinary, toxic); ``odds`` are those of a toxic label among all labels by those in the sample.
 
-    Both hold the same ordinary windows. The toxic one goes on with what marks toxic texts: words and beginnings of words
-    whose share of toxic documents is above chance by a likelihood ratio that allows for the number of marks tried. The
+    Both hold the same ordinary windows. The toxic one goes on with what marks toxic texts: words, beginnings of words and
+    phrases whose share of toxic documents is above chance by a likelihood ratio that allows for the number of marks tried. The
     strongest come last, where a match costs least.
     """
     toxic, ordinary = unlike(toxic), unlike(ordinary)
@@ -107,10 +129,9 @@ def dictionaries(toxic: list[str], ordinary: list[str], odds: float = 1.0) -> tu
     picked = [w[: -len(TAIL)] for found in map(windows, ordinary) for w in draw.sample(found, min(12, len(found)))]
     draw.shuffle(picked)
     base = b"".join(picked)[:ORDINARY_BYTES]
-    inside, outside = Counter(), Counter()
-    for texts, counts in ((toxic, inside), (ordinary, outside)):
-        for text in texts:
-            counts.update(marks_of(text))
+    twice = repeated(toxic)
+    inside = counted(toxic, lambda m: zlib.crc32(m) in twice)
+    outside = counted(ordinary, inside.__contains__)
     share = len(toxic) / max(1, len(toxic) + len(ordinary))
     least = math.log(1 + sum(n > 1 for n in inside.values())) + 2
 

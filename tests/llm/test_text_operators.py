@@ -285,6 +285,20 @@ def test_toxic_thresholds_do_not_follow_the_sample(spark):
     assert abs(sum(score.values()) / len(made) - 0.05) < 0.02
 
 
+def test_toxic_short_words_and_phrases_save_bytes():
+    draw = random.Random(9)
+    common = "the of and to in that it was for on with from when where then fair low".split()
+    plain = lambda: [draw.choice(common) for _ in range(draw.randint(30, 60))]
+    ordinary, toxic = [" ".join(plain()).replace("fair low then", "fair then") for _ in range(600)], []
+    for k in range(200):
+        w = plain()
+        w.insert(draw.randrange(len(w)), "zug" if k % 2 else "fair low then")
+        toxic.append(" ".join(w))
+    gains = toxicity.Gains(toxicity.fit(toxic, ordinary))
+    best = lambda insert: sum(gains(" ".join([*plain()[:5], insert, *plain()[:4]]))[0] > 0 for _ in range(50))
+    assert best("zug") >= 10 + best("qyx") and best("fair low then") > 10 + best("fair then low")
+
+
 def test_quality_of_edge_rows(edge, nothing, labels):
     model = quality.trained(edge, labels)
     assert quality.scored(edge, model).filter("score BETWEEN 0 AND 1").count() == len(ROWS)
