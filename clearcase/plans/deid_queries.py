@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clearcase import fixed_values as fv
@@ -140,14 +143,28 @@ def chart_round_trip(spark, sf):
                        tx.contains(F.col("restored"), F.lit("[REDACTED]")).alias("still_masked"))
 
 
+def redacted_turns(turns):
+    """(conv_id, turn, redacted, tokens, unclassified) of every turn: a conversation's token map is carried from turn to turn.
+
+    One settled step per rank of a turn, so there are as many steps as the longest conversation has turns."""
+    order = W.partitionBy("conv_id").orderBy("turn", "text")
+    ranked = settled(turns.select("conv_id", "turn", "text").withColumn("rank", F.row_number().over(order)))
+    last = ranked.agg(F.max("rank")).first()[0] or 1
+    steps = []
+    for k in range(1, last + 1):
+        now = ranked.where(F.col("rank") == k).drop("rank")
+        if steps:
+            before = steps[-1].select(F.col("conv_id").alias("_conv"), F.col("tokens").alias("carried"))
+            now = now.join(before, now["conv_id"].eqNullSafe(before["_conv"])).drop("_conv")
+        done = deid.deidentify(now, "text", tokens="carried" if steps else None)
+        steps.append(settled(done.select("conv_id", "turn", "redacted", "tokens", "unclassified")))
+    return reduce(lambda a, b: a.unionByName(b), steps)
+
+
 @query("conversation_shared_tokens")
 def conversation_shared_tokens(spark, sf):
-    """First and last turn of each conversation share one numbering."""
-    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(
-        F.min_by("text", "turn").alias("first_text"), F.max_by("text", "turn").alias("last_text"))
-    first = settled(deid.deidentify(turns, "first_text", out="first_redacted").withColumnRenamed("tokens", "first_tokens").drop("unclassified"))
-    both = deid.deidentify(first, "last_text", tokens="first_tokens", out="last_redacted")
-    return both.select("conv_id", "first_redacted", "last_redacted", F.size("tokens").alias("tokens"))
+    """All turns of each conversation share one numbering; tokens are those of the conversation so far."""
+    return redacted_turns(table(spark, sf, "conversations")).select("conv_id", "turn", "redacted", F.size("tokens").alias("tokens"), "unclassified")
 
 
 _COUNTS = {k: p.replace(tx.MONTH, _M) for k, (p, _) in vf.DETECTORS.items()} | {

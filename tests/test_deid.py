@@ -158,3 +158,16 @@ def test_offsets_are_linear(spark):
 
     seconds(10)
     assert seconds(8000) < 9 * max(seconds(1000), 0.5)
+
+
+def test_every_turn_of_a_conversation_is_redacted_with_one_map(spark):
+    from clearcase.plans.deid_queries import redacted_turns
+
+    rows = [(1, 0, "hello there"), (1, 1, "write to kk.51@mail4.example.com"), (1, 2, "or to zz.99@mail5.example.com"),
+            (1, 3, "again kk.51@mail4.example.com"), (None, 0, "write to kk.51@mail4.example.com")]
+    found = {(r["conv_id"], r["turn"]): r for r in redacted_turns(spark.createDataFrame(rows, "conv_id long, turn int, text string")).collect()}
+    assert len(found) == len(rows) and not any("@" in r["redacted"] for r in found.values())
+    token = lambda r: re.findall(r"\[[A-Z_]+_\d+\]", r["redacted"])
+    # An address has a number for each time it is met; the numbers go on from turn to turn.
+    assert [token(found[1, k]) for k in range(4)] == [[], ["[EMAIL_1]"], ["[EMAIL_2]"], ["[EMAIL_3]"]]
+    assert len(found[1, 3]["tokens"]) == 3 and len(found[None, 0]["tokens"]) == 1
