@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearcase.llm import bpe, codes, lm, near, packing, pii, quality, sharding, toxicity, vectors
+from clearcase.llm import bpe, codes, lm, near, packing, pii, quality, sharding, suffixes, toxicity, vectors
 from clearcase.llm.common import in_fold, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -82,6 +82,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the bytes that 400-byte strings repeat elsewhere."""
+    rows = suffixes.without_repeats(table(spark, sf_dir, "documents"), 400)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return rows.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_scores": op1_scores,
     "op2_quality": op2_quality,
@@ -93,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
+    "op13_suffixes": op13_suffixes,
 }
 
 #: Brute force over the same sign codes.
