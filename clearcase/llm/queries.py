@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearcase.llm import bpe, codes, lm, near, packing, pii, quality, sharding, suffixes, toxicity, vectors
+from clearcase.llm import bpe, codes, lm, near, packing, pii, quality, repair, sharding, suffixes, toxicity, trie, vectors
 from clearcase.llm.common import in_fold, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -82,6 +82,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct prefix of the rebuilt conversations, with sums over its subtree."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations and their cheapest repair."""
+    return repair.after_damage(table(spark, sf_dir, "conversations"))
+
+
 def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text without the bytes that 400-byte strings repeat elsewhere."""
     rows = suffixes.without_repeats(table(spark, sf_dir, "documents"), 400)
@@ -102,6 +112,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
+    "op11_trie": op11_trie,
+    "op12_repair": op12_repair,
     "op13_suffixes": op13_suffixes,
 }
 
@@ -120,4 +132,41 @@ WITH c AS (
 SELECT query_id, neighbour_id, distance::INT AS distance, rank::INT AS rank FROM r WHERE rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op6_codes": CODES_SQL}
+#: The same trie by comparing whole prefixes; CRC-32 is worked out bit by bit.
+TRIE_SQL = """
+WITH o AS (
+  SELECT conv_id, coalesce(text, '') AS text, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS r
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, xor(4294967295, list_reduce(
+      list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+      lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM o)
+), b AS (
+  SELECT c.conv_id, 0 AS own, o.r, o.digest, o.text FROM c JOIN o ON o.conv_id = c.base AND o.r <= c.h
+  UNION ALL SELECT c.conv_id, 1, o.r, o.digest, o.text FROM c JOIN o ON o.conv_id = c.conv_id AND o.r > c.h
+), t AS (
+  SELECT conv_id, text, row_number() OVER w AS depth, md5(string_agg(digest, ',') OVER w) AS node FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY own, r ROWS UNBOUNDED PRECEDING)
+), l AS (
+  SELECT c.conv_id, coalesce(max(t.depth), 0) AS turns FROM c LEFT JOIN t USING (conv_id) GROUP BY ALL
+), p AS (
+  SELECT conv_id, depth, node, coalesce(lag(node) OVER (PARTITION BY conv_id ORDER BY depth), 'root') AS parent,
+         len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words FROM t
+  UNION ALL SELECT conv_id, 0, 'root', NULL, 0 FROM c
+), n AS (
+  SELECT node, any_value(depth) AS depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM p GROUP BY node
+), k AS (
+  SELECT n.*, (SELECT count(*) FROM n AS m WHERE m.parent = n.node) AS n_children FROM n
+), s AS (
+  SELECT p.node, sum((k.n_children = 0)::INT) AS n_leaves, sum((k.n_convs - 1) * k.words) AS saved_tokens
+  FROM k JOIN p ON p.conv_id = k.conv_id AND p.depth <= k.depth GROUP BY p.node
+), e AS (
+  SELECT p.node, sha256(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id)) AS ends FROM p JOIN l ON l.conv_id = p.conv_id AND l.turns = p.depth GROUP BY p.node
+)
+SELECT k.conv_id, k.depth::BIGINT AS depth, m.conv_id AS parent_conv_id, k.n_convs, k.n_children, s.n_leaves::BIGINT AS n_leaves,
+       s.saved_tokens::BIGINT AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM k JOIN s USING (node) LEFT JOIN e USING (node) LEFT JOIN n AS m ON m.node = k.parent
+"""
+
+ORACLES: dict[str, str] = {"op6_codes": CODES_SQL, "op11_trie": TRIE_SQL}
