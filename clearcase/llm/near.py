@@ -330,19 +330,22 @@ def confirmed_large(large: DataFrame) -> DataFrame:
         moved = np.flatnonzero(first != np.arange(len(ids)))
         return pa.table({"a": ids[first[moved]], "b": ids[moved]})
 
-    left, edges = large.select("id", "component").distinct(), None
+    # Ids are few beside their sets: their tables take tasks by number, not by the width of shuffles.
+    tasks = max(large.sparkSession.sparkContext.defaultParallelism, -(-large.count() // 10_000))
+    left, edges = written(large.select("id", "component").distinct().coalesce(tasks)), None
+    members = left
     for _ in range(PIVOTS):
         pivots = left.groupBy("component").agg(F.min("id").alias("pivot"))
         sets = pivots.join(large.select(F.col("id").alias("pivot"), F.col("shingles").alias("pivot_shingles")), "pivot")
-        hits = written(large.select("id", "component", "shingles").join(sets, "component").select("pivot", "id", "shingles", "pivot_shingles").mapInArrow(reached, "pivot long, id long"))
+        hits = written(large.select("id", "component", "shingles").join(sets, "component").select("pivot", "id", "shingles", "pivot_shingles").mapInArrow(reached, "pivot long, id long").coalesce(tasks))
         edges = hits if edges is None else edges.unionByName(hits)
-        left = written(left.join(hits.select("id").distinct(), "id", "left_anti"))
+        left = written(left.join(hits.select("id").distinct(), "id", "left_anti").coalesce(tasks))
         if not left.limit(1).count():
             break
     edges = edges.select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     labels = components(edges).withColumnRenamed("component", "label")
-    parts = large.select("id", "component").distinct().join(labels, "id", "left").select("id", "component", F.coalesce("label", "id").alias("label"))
-    parts = written(parts)
+    parts = members.join(labels, "id", "left").select("id", "component", F.coalesce("label", "id").alias("label"))
+    parts = written(parts.coalesce(tasks))
     sizes = parts.groupBy("component", "label").agg(F.count("*").alias("n")).groupBy("component").agg(
         F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("rest")
     )
