@@ -255,7 +255,21 @@ def literal(c: Column) -> Column:
 
 
 def with_running(items: Column, amount: Callable[[Column], Column]) -> Column:
-    """(item, sum) for every item of an array: the amounts up to and including it, added up in one fold."""
-    zero = F.array().cast("array<int>")
-    sums = F.aggregate(F.transform(items, amount), zero, lambda a, x: F.array_append(a, F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + x))
-    return F.zip_with(items, sums, lambda i, n: F.struct(i.alias("item"), n.alias("sum")))
+    """(item, sum) for every item of an array: the amounts up to and including it.
+
+    Added up in blocks of about the root of the number of items: an array that grows is copied for each item, so no
+    array may grow beyond that.
+    """
+    ints = "array<int>"
+
+    def within(block: Column, base: Column) -> Column:
+        return F.aggregate(block, F.array().cast(ints), lambda sums, x: F.array_append(sums, F.coalesce(F.get(sums, F.size(sums) - 1), base, F.lit(0)) + amount(x)))
+
+    def summed(whole: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(whole))), F.lit(1)).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(whole) - 1, F.lit(0)) / width).cast("int")), lambda k: F.slice(whole, k * width + 1, width))
+        last = lambda done: F.get(F.get(done, F.size(done) - 1), F.size(F.get(done, F.size(done) - 1)) - 1)
+        sums = F.flatten(F.aggregate(blocks, F.array().cast(f"array<{ints}>"), lambda done, block: F.array_append(done, within(block, last(done)))))
+        return F.zip_with(whole, sums, lambda i, n: F.struct(i.alias("item"), n.alias("sum")))
+
+    return F.when(items.isNotNull(), let(items, summed))

@@ -352,7 +352,7 @@ def metro_cities(df: DataFrame) -> DataFrame:
                                  key=lambda m: F.lower(city_of(m)), order=lambda m: m["g1"].cast("int"), groups=1))
 
 
-def _replace_names(text: Column, names: Column, token_of: Callable[[Column], Column], name_of: Callable[[Column], Column]) -> Column:
+def replaced_names(text: Column, names: Column, token_of: Callable[[Column], Column], name_of: Callable[[Column], Column]) -> Column:
     def step(t: Column, e: Column) -> Column:
         pattern = F.concat(F.lit("(?i)" + tx.BEGIN), tx.literal(name_of(e)), F.lit("(?![A-Za-z0-9_])"))
         return F.regexp_replace(t, pattern, token_of(e))
@@ -362,7 +362,7 @@ def _replace_names(text: Column, names: Column, token_of: Callable[[Column], Col
 
 def sweep_contacts(df: DataFrame) -> DataFrame:
     contacts = F.filter("_toks", lambda t: (t["cat"] == "CONTACT") & (F.length(t["key"]) >= 3))
-    return df.withColumn("_text", _replace_names(F.col("_text"), contacts, lambda t: t["token"], lambda t: t["key"]))
+    return df.withColumn("_text", replaced_names(F.col("_text"), contacts, lambda t: t["token"], lambda t: t["key"]))
 
 
 def detected_name(text: Column) -> Column:
@@ -392,15 +392,19 @@ def detected_name(text: Column) -> Column:
 PATIENT = "[PATIENT_NAME]"
 
 
+def patient_entry(name: Column) -> Column:
+    return _entry(F.lit("PATIENT_NAME"), F.lit(1), F.lit(PATIENT), name, F.lit(None).cast("string"))
+
+
 def sweep_patient(df: DataFrame) -> DataFrame:
     """Every form of the patient's name becomes one token; a name already known is kept."""
     known = F.get(F.filter("_toks", lambda t: t["token"] == PATIENT), F.lit(0))["raw"]
-    name, blank = F.col("_name"), F.lit(None).cast("string")
+    name = F.col("_name")
     named = df.withColumn("_known", known).withColumn("_name", F.when(F.col("_known").isNotNull(), F.col("_known")).otherwise(detected_name(F.col("_text"))))
     named = named.withColumn("_parts", F.when(name.isNotNull(), tx.name_parts(name)))
     named = named.withColumn("_variants", F.when(name.isNotNull(), tx.name_variants(F.col("_parts"))))
-    swept = _replace_names(F.col("_text"), F.col("_variants"), lambda v: F.lit(PATIENT), lambda v: v)
-    entry = _entry(F.lit("PATIENT_NAME"), F.lit(1), F.lit(PATIENT), name, blank)
+    swept = replaced_names(F.col("_text"), F.col("_variants"), lambda v: F.lit(PATIENT), lambda v: v)
+    entry = patient_entry(name)
     return named.withColumns({
         "_text": F.when(name.isNotNull(), swept).otherwise(F.col("_text")),
         "_toks": F.when(name.isNotNull() & F.col("_known").isNull(), F.array_append("_toks", entry)).otherwise(F.col("_toks")),
@@ -446,21 +450,31 @@ def residual(df: DataFrame, allow: Iterable[str]) -> DataFrame:
 
 # ---- whole documents -------------------------------------------------------------------
 
-def deidentify(df: DataFrame, text: str, allow: Iterable[str] | None = None, tokens: str | None = None, out: str = "redacted") -> DataFrame:
-    """Adds ``out``, ``tokens`` and ``unclassified``.
-
-    ``tokens`` names a token list to carry on from, so several texts of one case
-    share numbering and the patient's name: call once per text, in order.
-    """
-    allow = list(allow if allow is not None else default_allowlist())
-    start = F.coalesce(F.col(tokens).cast(TOKENS), _no_tokens()) if tokens else _no_tokens()
-    work = df.withColumns({"_text": F.coalesce(tx.normalized(text), F.lit("")), "_toks": start})
+def tokenized(df: DataFrame, text: str, start: Column | None = None) -> DataFrame:
+    """Adds ``_text`` and ``_toks``: all passes that need no name, going on from the tokens in ``start``."""
+    work = df.withColumns({"_text": F.coalesce(tx.normalized(text), F.lit("")), "_toks": _no_tokens() if start is None else start})
     for p in passes_before_cities():
         work = run_pass(work, p)
     work = metro_cities(work)
     for p in passes_after_cities():
         work = run_pass(work, p)
-    work = residual(run_pass(sweep_patient(sweep_contacts(work)), BARE_ID_PASS), allow)
+    return work
+
+
+def masked_names(work: DataFrame, allow: Iterable[str] | None = None) -> DataFrame:
+    """The patient's name, bare identifiers and what is left over; adds ``_flagged``."""
+    return residual(run_pass(sweep_patient(work), BARE_ID_PASS), list(allow if allow is not None else default_allowlist()))
+
+
+def deidentify(df: DataFrame, text: str, allow: Iterable[str] | None = None, tokens: str | None = None, out: str = "redacted") -> DataFrame:
+    """Adds ``out``, ``tokens`` and ``unclassified``.
+
+    ``tokens`` names a token list to carry on from, so several texts of one case
+    share numbering and the patient's name: call once per text, in order.  For
+    any number of texts see ``seams.shared``.
+    """
+    start = F.coalesce(F.col(tokens).cast(TOKENS), _no_tokens()) if tokens else None
+    work = masked_names(sweep_contacts(tokenized(df, text, start)), allow)
     return work.select(
         *[c for c in df.columns if c not in (out, "tokens", "unclassified")], F.col("_text").alias(out),
         F.col("_toks").alias("tokens"), F.col("_flagged").cast("bigint").alias("unclassified"))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clearcase import fixed_values as fv
 from clearcase.bindings import bound, cte, table
 from clearcase.functions import text as tx
-from clearcase.operators import deid
+from clearcase.operators import deid, seams
 from clearcase.operators import verify as vf
 from clearcase.plans.registry import query
 from clearcase.sources.tables import settled
@@ -143,28 +141,46 @@ def chart_round_trip(spark, sf):
                        tx.contains(F.col("restored"), F.lit("[REDACTED]")).alias("still_masked"))
 
 
+def _turns(turns):
+    return seams.shared(turns.select("conv_id", "turn", "text"), "conv_id", ["turn", "text"], "text").drop("text")
+
+
 def redacted_turns(turns):
-    """(conv_id, turn, redacted, tokens, unclassified) of every turn: a conversation's token map is carried from turn to turn.
-
-    One settled step per rank of a turn, so there are as many steps as the longest conversation has turns."""
-    order = W.partitionBy("conv_id").orderBy("turn", "text")
-    ranked = settled(turns.select("conv_id", "turn", "text").withColumn("rank", F.row_number().over(order)))
-    last = ranked.agg(F.max("rank")).first()[0] or 1
-    steps = []
-    for k in range(1, last + 1):
-        now = ranked.where(F.col("rank") == k).drop("rank")
-        if steps:
-            before = steps[-1].select(F.col("conv_id").alias("_conv"), F.col("tokens").alias("carried"))
-            now = now.join(before, now["conv_id"].eqNullSafe(before["_conv"])).drop("_conv")
-        done = deid.deidentify(now, "text", tokens="carried" if steps else None)
-        steps.append(settled(done.select("conv_id", "turn", "redacted", "tokens", "unclassified")))
-    return reduce(lambda a, b: a.unionByName(b), steps)
+    """(conv_id, turn, redacted, tokens, unclassified) of every turn; ``tokens`` are all of the conversation so far, which
+    is meant for short ones. ``seams.shared`` has each turn's own tokens and their number so far."""
+    so_far = W.partitionBy("conv_id").orderBy("turn", "redacted").rowsBetween(W.unboundedPreceding, 0)
+    done = _turns(turns).withColumn("all", F.flatten(F.collect_list("tokens").over(so_far)))
+    first = F.filter("all", lambda t, i: F.array_position(F.transform("all", lambda x: x["token"]), t["token"]) == i + 1)
+    return done.select("conv_id", "turn", "redacted", first.alias("tokens"), "unclassified")
 
 
 @query("conversation_shared_tokens")
 def conversation_shared_tokens(spark, sf):
     """All turns of each conversation share one numbering; tokens are those of the conversation so far."""
-    return redacted_turns(table(spark, sf, "conversations")).select("conv_id", "turn", "redacted", F.size("tokens").alias("tokens"), "unclassified")
+    return _turns(table(spark, sf, "conversations")).select("conv_id", "turn", "redacted", F.col("known").cast("int").alias("tokens"), "unclassified")
+
+
+_SEAM_SPANS = ("phone", "email", "ssn", "ip", "date_iso", "date_numeric", "provider_titled", "facility")
+
+
+@query("case_token_numbers", f"""WITH {cte('charts', 'drafts', 'raw_extractions')},
+t AS (SELECT chart_id AS patient_id, 0 AS seam, chart_id AS item, text FROM charts
+      UNION ALL SELECT r.chart_id, d.attempt, d.case_id, d.text FROM drafts d JOIN raw_extractions r ON d.case_id = r.case_id),
+sp AS ({exploded_sql('t', 'patient_id, seam, item', 'text', *_SEAM_SPANS)}),
+v AS (SELECT *, CASE WHEN category IN ('phone', 'email', 'ssn', 'ip') THEN NULL ELSE lower(trim(raw)) END AS value FROM sp),
+f AS (SELECT *, min((seam, item, pos)) OVER (PARTITION BY patient_id, category, value) AS first_at FROM v WHERE value IS NOT NULL)
+SELECT patient_id, seam, item, category, pos, raw, row_number() OVER (PARTITION BY patient_id, category ORDER BY seam, item, pos) AS number FROM v WHERE value IS NULL
+UNION ALL SELECT patient_id, seam, item, category, pos, raw, dense_rank() OVER (PARTITION BY patient_id, category ORDER BY first_at) FROM f""")
+def case_token_numbers(spark, sf):
+    """Token numbers of identifiers over all texts of a patient: the chart first, then the drafts of the letters."""
+    charts = bound(spark, sf, "charts").select(F.col("chart_id").alias("patient_id"), F.lit(0).cast("bigint").alias("seam"), F.col("chart_id").alias("item"), "text")
+    drafts = bound(spark, sf, "drafts").join(bound(spark, sf, "raw_extractions").select("case_id", "chart_id"), "case_id").select(
+        F.col("chart_id").alias("patient_id"), F.col("attempt").cast("bigint").alias("seam"), F.col("case_id").alias("item"), "text")
+    texts = charts.unionByName(drafts).withColumn("at", F.struct("seam", "item"))
+    found = _as_long(deid.spans(texts.withColumn("row", F.struct("patient_id", "at")), "row", "text", *_SEAM_SPANS)).select("row.patient_id", "row.at", "category", "pos", "raw")
+    value = F.when(~F.col("category").isin("phone", "email", "ssn", "ip"), F.lower(F.trim("raw")))
+    done = seams.numbered(found.withColumn("value", value), "patient_id", "at", "pos")
+    return done.select("patient_id", "at.seam", "at.item", "category", "pos", "raw", F.col("number").cast("bigint").alias("number"))
 
 
 _COUNTS = {k: p.replace(tx.MONTH, _M) for k, (p, _) in vf.DETECTORS.items()} | {

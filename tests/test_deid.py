@@ -171,3 +171,54 @@ def test_every_turn_of_a_conversation_is_redacted_with_one_map(spark):
     # An address has a number for each time it is met; the numbers go on from turn to turn.
     assert [token(found[1, k]) for k in range(4)] == [[], ["[EMAIL_1]"], ["[EMAIL_2]"], ["[EMAIL_3]"]]
     assert len(found[1, 3]["tokens"]) == 3 and len(found[None, 0]["tokens"]) == 1
+
+
+def test_texts_of_a_case_equal_one_text_after_another(spark):
+    """Numbers, contacts and names over any number of seams are those of redacting seam by seam with a carried token list."""
+    from clearcase.operators import seams
+
+    texts = [
+        ["Patient: Noor Haddad, on 2021-05-06 and 3/4/2021", "Spouse: Lena Brandt. Haddad was seen 7/8/2022 by Dr. Chen.", "Lena Brandt wrote from a.b@c.example.com on 2021-05-06.",
+         "Dr. Park and Sarah Chen, MD saw Noor in Denver, phone 212-555-0101.", "Acct #: ZX-1234. Her file is XJ3-889-21.", "Wife: Ada Moss. File XJ4-889-22, Lena Brandt, Hoboken and Denver."],
+        ["no name yet 1/2/2020", "Patient name: Webb, Marcus", "Marcus Webb of Brooklyn, NY 11201", "mail x@y.example.org or z@y.example.org"],
+        ["nothing at all"],
+        [None, "", "Re: Grant Ferro\nDOB: 01/02/1960"],
+    ]
+    rows = [(c, k, t) for c, group in enumerate(texts) for k, t in enumerate(group)] + [(None, 0, "on 2020-02-02"), (None, 1, "on 2020-02-03")]
+    found = {(r["c"], r["k"]): r for r in seams.shared(spark.createDataFrame(rows, "c long, k int, t string"), "c", ["k"], "t").collect()}
+    assert len(found) == len(rows)
+    step = spark.createDataFrame([(c, *(g + ["x"] * 6)[:6]) for c, g in enumerate(texts)], "c long, " + ", ".join(f"t{k} string" for k in range(6)))
+    carried = None
+    for k in range(6):
+        step = settled(deid.deidentify(step, f"t{k}", tokens=carried, out=f"o{k}").withColumnRenamed("tokens", f"m{k}").drop("unclassified"))
+        carried = f"m{k}"
+    for r in step.collect():
+        for k in range(len(texts[r["c"]])):
+            one = found[r["c"], k]
+            assert one["redacted"] == r[f"o{k}"], (r["c"], k)
+            assert one["known"] == len(r[f"m{k}"]), (r["c"], k)
+            own = {(t["token"]) for t in one["tokens"]}
+            assert own <= {t["token"] for t in r[f"m{k}"]}
+    assert "[DATE_2]" in found[None, 1]["redacted"]
+
+
+def test_a_plan_does_not_follow_the_turns(spark):
+    from clearcase.operators import seams
+
+    rows = [(1, k, f"mail a{k}@b.example.com") for k in range(400)]
+    done = seams.shared(spark.createDataFrame(rows, "conv_id long, turn int, text string"), "conv_id", ["turn"], "text").drop("tokens").withColumnRenamed("known", "tokens")
+    assert {(r["turn"], r["redacted"], r["tokens"]) for r in done.collect()} == {(k, f"mail [EMAIL_{k + 1}]", k + 1) for k in range(400)}
+
+
+def test_running_sums_are_linear(spark):
+    from clearcase.functions import text as tx
+
+    def seconds(n):
+        df = spark.createDataFrame([("ab " * n,)], "t STRING").withColumn("p", F.split("t", " "))
+        start = time.time()
+        last = df.select(F.element_at(tx.with_running(F.col("p"), lambda x: F.length(x) + 1), -1)["sum"]).first()[0]
+        assert last == 3 * n + 1
+        return time.time() - start
+
+    seconds(10)
+    assert seconds(64_000) < 20 * max(seconds(4000), 0.2)
