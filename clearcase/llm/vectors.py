@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import functools
-import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +14,10 @@ from clearcase.llm.common import written
 from clearcase.llm.components import components
 
 COSINE = 0.95
-#: Coordinates of a block, and rows of one side of a comparison.
-BLOCK, TILE = 16, 20_000
+#: Coordinates of a block, rows of one side of a comparison, and rows that are compared with all that come near.
+BLOCK, TILE, LEAF = 8, 20_000, 48
+#: Vectors from whose medians the cells are cut (balance only; results do not depend on it), and rows of a cell.
+SAMPLE, CELL = 20_000, 5_000
 #: Room for rounding in block distances; links themselves are decided on the whole vectors.
 SLACK = 1e-9
 
@@ -38,47 +38,94 @@ def budgets(size: int, cosine: float) -> list[float]:
     return [(2 - 2 * cosine) * (b.stop - b.start) / size + SLACK for b in blocks_of(size)]
 
 
-def unit(packed: pa.Array) -> np.ndarray:
+def unit(packed: pa.Array, kind: str) -> np.ndarray:
     """Unit vectors in double precision, a row per packed one; all of one length."""
-    data = np.frombuffer(b"".join(packed.to_pylist()), dtype=np.float32).reshape(len(packed), -1).astype(np.float64)
+    data = np.frombuffer(b"".join(packed.to_pylist()), dtype=kind).reshape(len(packed), -1).astype(np.float64)
+    # Scaled first: squares of very large and very small components have no double.
+    data = data / np.abs(data).max(axis=1)[:, None]
     return data / np.linalg.norm(data, axis=1)[:, None]
 
 
-def visits(block: np.ndarray, width: float, radius: float, used: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """(rows, cells, home) for the grid cells that a ball of ``radius`` around each row touches in ``used`` coordinates.
+def divided(points: np.ndarray, most: int) -> tuple | None:
+    """A tree of (coordinate, border, below, above) over ``points`` with about ``most`` in a leaf (None)."""
+    if len(points) <= most:
+        return None
+    axis = int(points.var(axis=0).argmax())
+    at = float(np.median(points[:, axis]))
+    low = points[:, axis] <= at
+    if low.all() or not low.any():
+        return None
+    return axis, at, divided(points[low], most), divided(points[~low], most)
 
-    The home cell comes first. Cells are at most twice the radius wide or wider, so a ball leaves its cell on one side
-    of each coordinate at most; the squared distances to the sides crossed must fit into the squared radius.
+
+def sides(y: np.ndarray, rows: np.ndarray, gaps: np.ndarray, axis: int, at: float, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, gaps) of what may come within ``limit`` of points below the border, then of those above it.
+
+    ``gaps`` holds how far each row lies outside of the cell in each coordinate; their squares must fit into ``limit``.
     """
-    at = np.floor(block[:, :used] / width).astype(np.int64)
-    inside = block[:, :used] / width - at
-    side = np.where(inside < 0.5, -1, 1)
-    away = (np.minimum(inside, 1 - inside) * width) ** 2
-    for chosen in itertools.product((0, 1), repeat=used):
-        mask = np.array(chosen)
-        near = np.flatnonzero(away @ mask <= radius**2 + SLACK)
-        if len(near):
-            yield near, at[near] + side[near] * mask, not any(chosen)
+    over = y[rows, axis] - at
+    for away in (np.maximum(over, 0), np.maximum(-over, 0)):
+        wider = gaps.copy()
+        wider[:, axis] = np.maximum(wider[:, axis], away)
+        fit = (wider**2).sum(axis=1) <= limit
+        yield rows[fit], wider[fit]
+
+
+def visits(tree: tuple | None, y: np.ndarray, limit: float) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """(rows, cell, home) for the cells of a tree that the ball around each row touches; a row is at home in one."""
+    pile = [(tree, 1, np.arange(len(y)), np.zeros(y.shape), np.ones(len(y), bool))]
+    while pile:
+        node, number, rows, gaps, home = pile.pop()
+        if not len(rows):
+            continue
+        if node is None:
+            yield rows, number, home[rows]
+            continue
+        axis, at, *below = node
+        low = y[:, axis] <= at
+        for k, (part, wider) in enumerate(sides(y, rows, gaps, axis, at, limit)):
+            pile.append((below[k], 2 * number + k, part, wider, home & (low if k == 0 else ~low)))
+
+
+def neighbours(x: np.ndarray, y: np.ndarray, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of x, rows of y) in which all pairs within ``limit`` stand: x is halved again and again, y goes where it may."""
+    pile = [(np.arange(len(x)), np.arange(len(y)), np.zeros(y.shape))]
+    while pile:
+        h, g, gaps = pile.pop()
+        if not len(h) or not len(g):
+            continue
+        axis = int(x[h].var(axis=0).argmax())
+        at = np.median(x[h, axis])
+        low = x[h, axis] <= at
+        if len(h) <= LEAF or low.all():
+            for start in range(0, len(h), 256):
+                yield h[start : start + 256], g
+            continue
+        (below, g_below), (above, g_above) = sides(y, g, gaps, axis, at, limit)
+        pile += [(h[low], below, g_below), (h[~low], above, g_above)]
 
 
 def linked_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row, links being all pairs with at least ``cosine``.
 
     If two unit vectors are within the squared distance of ``cosine``, then in some block of rotated coordinates they
-    are within that block's share of it. Each block is a range join: rows at home in a grid cell meet the rows whose
-    ball touches it, in tiles of bounded size, and what is within the block's budget is compared whole. A pair counts
-    in the first block that finds it, so tiles return counts and spanning links, never pairs. Equal vectors are one
-    class, compared once and counted by its size.
+    are within that block's share of it. Each block is a range join: rows at home in a cell meet the rows whose ball
+    touches it, in tiles of bounded size that are halved further inside, and what is within the block's budget is compared
+    whole. Cells are cut at the medians of a bounded sample, coordinate by coordinate. A pair counts in the first block
+    that finds it, so tiles return counts and spanning links, never pairs. Equal vectors are one class, compared once
+    and counted by its size. Components keep their own type; a cosine is worked out in double precision.
 
     Null vectors, zero ones and ones with null or non-finite components link with nothing, as do vectors of different
     lengths. Repeated rows are vectors of their own; a null id has no component. Labels and other columns are not read.
     """
     spark = vectors.sparkSession
-    v = vectors[embedding].cast("array<float>")
+    single = vectors.schema[embedding].dataType.simpleString() == "array<float>"
+    kind, name = ("<f4", "float") if single else ("<f8", "double")
+    v = vectors[embedding].cast(f"array<{name}>")
     usable = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(vectors[vec_id].cast("long").alias("vec_id"), F.when(usable, v).alias("v")).withColumn(
         # Adding zero makes minus zero equal to zero.
-        "key", F.when(F.col("v").isNotNull(), F.md5(F.to_csv(F.struct(F.transform("v", lambda x: x + F.lit(0.0).cast("float")).cast("string"))).cast("binary")))
+        "key", F.when(F.col("v").isNotNull(), F.md5(F.to_csv(F.struct(F.transform("v", lambda x: x + F.lit(0.0).cast(name)).cast("string"))).cast("binary")))
     )
     rows = written(rows)
     classes = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v"))
@@ -87,35 +134,37 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "ve
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("v")
-            ends, data = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype(np.float32)
+            ends, data = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype(kind)
             parts = [data[a:b].tobytes() for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "class", "id", "n")), pa.array(parts, pa.binary())], names=["key", "class", "id", "n", "v"])
 
     classes = written(classes.mapInArrow(packed, "key string, class long, id long, n long, v binary"))
     total = classes.count()
-    # Grid coordinates follow the logarithm of the rows, so that cells stay about as full.
-    used = max(1, min(BLOCK // 2, round(math.log2(total + 1) / 5)))
-
-    def cells(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int, bool]]:
+    share = min(1.0, SAMPLE / max(1, total))
+    some = classes.filter(F.pmod(F.xxhash64("class"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v").limit(2 * SAMPLE).toArrow().column("v").combine_chunks()
+    width = np.dtype(kind).itemsize
+    trees = {}
+    lengths = np.array([len(x) // width for x in some.to_pylist()])
+    for size in np.unique(lengths).tolist():
+        turned = unit(some.filter(pa.array(lengths == size)), kind) @ rotation(size)
+        trees[size] = [divided(turned[:, cut], max(64, int(CELL * share))) for cut in blocks_of(size)]
+
+    def cells(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray]]:
         """(rows, cell codes, block, home) of a batch's visits."""
-        sizes = np.array([len(x) // 4 for x in batch.column("v").to_pylist()])
+        sizes = np.array([len(x) // width for x in batch.column("v").to_pylist()])
         for size in np.unique(sizes).tolist():
             of = np.flatnonzero(sizes == size)
-            turned = unit(batch.column("v").take(pa.array(of))) @ rotation(size)
+            turned = unit(batch.column("v").take(pa.array(of)), kind) @ rotation(size)
             for k, (cut, budget) in enumerate(zip(blocks_of(size), budgets(size, cosine))):
-                radius = math.sqrt(budget)
-                for near, at, home in visits(turned[:, cut], max(2 * radius, 0.01), radius, min(used, cut.stop - cut.start)):
-                    code = np.full(len(near), size * 4096 + k, np.int64)
-                    for axis in range(at.shape[1]):
-                        code = code * 1_000_003 + at[:, axis]  # a cell's number: wraps, but is far from repeating
-                    yield of[near], code, k, home
+                for near, cell, home in visits(trees[size][k] if size in trees else None, turned[:, cut], budget + SLACK):
+                    yield of[near], np.full(len(near), ((size * 4096 + k) * 1_000_003 + cell) % (1 << 62), np.int64), k, home
 
     def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows_, code, k, home in cells(batch):
                 taken = batch.take(pa.array(rows_))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(code), pa.array([k] * len(code), pa.int32()), pa.array([home] * len(code)), *(taken.column(c) for c in ("class", "id", "n", "v"))],
+                    [pa.array(code), pa.array([k] * len(code), pa.int32()), pa.array(home), *(taken.column(c) for c in ("class", "id", "n", "v"))],
                     names=["cell", "block", "home", "class", "id", "n", "v"],
                 )
 
@@ -127,9 +176,9 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "ve
 
     # Rows are made where they are needed: vectors are not written once for every cell.
     seen = classes.mapInArrow(celled, "cell long, block int, home boolean, class long, id long, n long, v binary")
-    # Cells are at most (2 / width) ^ used for each block and length, apart from the rows' number.
+    # Only cells that the sample's medians left too full.
     full = written(classes.mapInArrow(counted, "cell long, m long").groupBy("cell").agg(F.sum("m").alias("m")).filter(F.col("m") > TILE).select("cell", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")))
-    tiled = seen.join(F.broadcast(full), "cell", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    tiled = seen.join(full, "cell", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     own = F.pmod(F.col("class"), F.col("tiles")).cast("int")
     every = F.sequence(F.lit(0), F.col("tiles") - 1)
     # A home row stands in one row of tiles, and every row, as a visitor, in one column.
@@ -145,7 +194,7 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "ve
     def compared(tile: pa.Table) -> pa.Table:
         tile = tile.combine_chunks()
         k, packed_all = tile["block"][0].as_py(), tile["v"].combine_chunks()
-        vectors_ = unit(packed_all)
+        vectors_ = unit(packed_all, kind)
         turned = vectors_ @ rotation(vectors_.shape[1])
         ids, counts, keys = tile["id"].to_numpy(), tile["n"].to_numpy(), tile["class"].to_numpy()
         visitor = tile["visitor"].to_numpy()
@@ -161,13 +210,12 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "ve
                 i = parent[i]
             return i
 
-        yy = (y**2).sum(1)
         least = dict(zip(keys.tolist(), ids.tolist()))
-        for start in range(0, len(h), 256):
-            part = x[start : start + 256]
-            near = (part**2).sum(1)[:, None] + yy[None, :] - 2 * part @ y.T <= limits[k] + SLACK
+        xx, yy = (x**2).sum(1), (y**2).sum(1)
+        for part, others in neighbours(x, y, limits[k] + SLACK):
+            near = xx[part][:, None] + yy[others][None, :] - 2 * x[part] @ y[others].T <= limits[k] + SLACK
             i, j = np.nonzero(near)
-            i, j = h[start + i], g[j]
+            i, j = h[part[i]], g[others[j]]
             keep = keys[i] < keys[j]
             i, j = i[keep], j[keep]
             for at in range(0, len(i), 20_000):
@@ -175,7 +223,7 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "ve
                 yes = (vectors_[p] * vectors_[q]).sum(1) >= cosine
                 p, q = p[yes], q[yes]
                 gap = (turned[p] - turned[q]) ** 2
-                first = np.ones(len(p), bool)
+                first = gap[:, cuts[k]].sum(1) <= limits[k]
                 for cut, limit in zip(cuts[:k], limits[:k]):
                     first &= gap[:, cut].sum(1) > limit
                 p, q = p[first], q[first]
