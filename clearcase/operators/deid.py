@@ -16,7 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clearcase import fixed_values as fv
+from clearcase.functions import leaves
 from clearcase.functions import text as tx
+from clearcase.operators import vocabulary
+from clearcase.sources.tables import settled
 
 TOKEN = "struct<cat:string,n:int,token:string,raw:string,key:string>"
 TOKENS = f"array<{TOKEN}>"
@@ -433,17 +436,26 @@ def allowlisted(span: Column, allow: Iterable[str]) -> Column:
 MASK = "[REDACTED]"
 
 
-def residual(df: DataFrame, allow: Iterable[str]) -> DataFrame:
-    """Names and long numbers that no pass took become [REDACTED] in ``_text``, for good; ``_flagged`` counts them."""
+def residual(df: DataFrame, allow: Iterable[str] | DataFrame) -> DataFrame:
+    """Names and long numbers that no pass took become [REDACTED] in ``_text``, for good; ``_flagged`` counts them.
+
+    ``allow`` is a short list, or a vocabulary table of any size (``vocabulary.table``), which is joined.
+    """
     text = F.col("_text")
 
-    def written(m: Column) -> Column:
-        kept = F.when(m.startswith("["), True).when(m.rlike(r"^\d"), F.length(m) == 5).otherwise(allowlisted(m, allow))
+    def written(m: Column, allowed: Column) -> Column:
+        kept = F.when(m.startswith("["), True).when(m.rlike(r"^\d"), F.length(m) == 5).otherwise(allowed)
         return F.when(kept, m).otherwise(MASK)
 
     masks = lambda a: F.size(F.filter(a, lambda x: x == MASK))
     found = df.withColumn("_hits", F.regexp_extract_all(text, F.lit(RESIDUAL), F.lit(0)))
-    found = found.withColumn("_new", F.transform("_hits", written))
+    if isinstance(allow, DataFrame):
+        found = settled(settled(found).withColumn("_row", F.monotonically_increasing_id()))
+        names = found.select(F.col("_row").alias("row"), F.transform("_hits", lambda m: F.when(m.rlike("^[^\\[0-9]"), m)).alias("hits"))
+        told = vocabulary.flags(names, allow).withColumnRenamed("row", "_row").withColumnRenamed("flags", "_flags")
+        found = found.join(told, "_row", "left").withColumn("_new", F.zip_with("_hits", F.coalesce("_flags", F.array().cast("array<boolean>")), written)).drop("_row", "_flags")
+    else:
+        found = found.withColumn("_new", F.transform("_hits", lambda m: written(m, allowlisted(m, allow))))
     joined = F.array_join(F.zip_with(F.split(text, RESIDUAL, -1), F.array_append("_new", F.lit("")), lambda a, b: F.concat(a, b)), "")
     return found.withColumns({"_text": joined, "_flagged": masks("_new") - masks("_hits")})
 
@@ -461,12 +473,13 @@ def tokenized(df: DataFrame, text: str, start: Column | None = None) -> DataFram
     return work
 
 
-def masked_names(work: DataFrame, allow: Iterable[str] | None = None) -> DataFrame:
+def masked_names(work: DataFrame, allow: Iterable[str] | DataFrame | None = None) -> DataFrame:
     """The patient's name, bare identifiers and what is left over; adds ``_flagged``."""
-    return residual(run_pass(sweep_patient(work), BARE_ID_PASS), list(allow if allow is not None else default_allowlist()))
+    words = allow if isinstance(allow, DataFrame) else list(allow if allow is not None else default_allowlist())
+    return residual(run_pass(sweep_patient(work), BARE_ID_PASS), words)
 
 
-def deidentify(df: DataFrame, text: str, allow: Iterable[str] | None = None, tokens: str | None = None, out: str = "redacted") -> DataFrame:
+def deidentify(df: DataFrame, text: str, allow: Iterable[str] | DataFrame | None = None, tokens: str | None = None, out: str = "redacted") -> DataFrame:
     """Adds ``out``, ``tokens`` and ``unclassified``.
 
     ``tokens`` names a token list to carry on from, so several texts of one case
@@ -513,12 +526,24 @@ def reidentified_leaf(text: Column, tokens: Column) -> Column:
     return F.regexp_replace(reidentified(text, tokens), r"[\x01-\x1F\x7F-\x9F]", " ")
 
 
+def reidentified_record(df: DataFrame, column: str, tokens: str) -> DataFrame:
+    """``df`` with every text in the typed record ``column`` restored; numbers, booleans and nulls stay as they are."""
+    kind = df.schema[column].dataType
+    return df.withColumn(column, leaves.mapped(F.col(column), kind, lambda t: reidentified_leaf(t, F.col(tokens))))
+
+
 def known_values_masked(text: Column, tokens: Column) -> Column:
     """Values already known become their tokens, longest value first, in any letter case."""
     long_enough = F.filter(tokens, lambda t: F.length(t["raw"]) >= 3)
     return F.aggregate(_longest_first(long_enough, "raw"), text, lambda t, e: F.regexp_replace(t, F.concat(F.lit("(?i)"), tx.literal(e["raw"])), e["token"]))
 
 
+def masked_record(df: DataFrame, column: str, tokens: str) -> DataFrame:
+    """``df`` with every known value in the texts of the typed record ``column`` masked."""
+    kind = df.schema[column].dataType
+    return df.withColumn(column, leaves.mapped(F.col(column), kind, lambda t: known_values_masked(t, F.col(tokens))))
+
+
 def counters_only(tokens: Column) -> Column:
     """Known numbered tokens as counters: new tokens number past them, old values are not reused."""
     numbered = F.filter(tokens, lambda t: t["token"].rlike(r"^\[[A-Z]+_\d+\]$"))

@@ -72,6 +72,28 @@ def latency_by_payer(events: DataFrame) -> DataFrame:
     )
 
 
+def latency_quantiles(events: DataFrame, quantiles: list[float], k: int = 400) -> DataFrame:
+    """(payer, n, quantile, value, low, high, within): duration quantiles from KLL sketches, checked against true ranks.
+
+    A sketch has some thousand values at most, however many rows it saw, and tasks merge theirs, so neither state nor
+    shuffle follows the rows or the range of values. ``low`` and ``high`` are the shares of durations below the value and
+    up to it; ``within`` says that the quantile is no more than 0.01 off.
+    """
+    done = with_props(events.where(F.col("event") == "pa_generation_succeeded").select("event", "props")).select("p.payer", "p.duration_ms")
+    sketches = done.groupBy("payer").agg(F.kll_sketch_agg_bigint("duration_ms", F.lit(k)).alias("sketch"), F.count("duration_ms").alias("n"))
+    values = [F.struct(F.lit(q).alias("quantile"), F.kll_sketch_get_quantile_bigint("sketch", F.lit(q)).alias("value")) for q in quantiles]
+    asked = sketches.where("n > 0").select("payer", "n", F.array(*values).alias("asked"))
+    # One row per payer with an array travels, so each duration is compared with its payer's values in place.
+    met = done.join(asked, done["payer"].eqNullSafe(asked["payer"])).drop(asked["payer"])
+    counts = [f for i in range(len(quantiles)) for f in (
+        F.count_if(F.col("duration_ms") < F.col("asked")[i]["value"]).alias(f"b{i}"), F.count_if(F.col("duration_ms") <= F.col("asked")[i]["value"]).alias(f"u{i}"))]
+    ranked = met.groupBy("payer").agg(F.first("n").alias("n"), F.first("asked").alias("asked"), *counts)
+    rows = F.array(*[F.struct(F.col("asked")[i]["quantile"].alias("quantile"), F.col("asked")[i]["value"].alias("value"), (F.col(f"b{i}") / F.col("n")).alias("low"),
+                              (F.col(f"u{i}") / F.col("n")).alias("high")) for i in range(len(quantiles))])
+    told = ranked.select("payer", "n", F.inline(rows))
+    return told.withColumn("within", (F.col("low") - 0.01 <= F.col("quantile")) & (F.col("quantile") <= F.col("high") + 0.01))
+
+
 def funnel(events: DataFrame) -> DataFrame:
     """Per user: first start, first success after it, first export after that.
 

@@ -56,7 +56,7 @@ def _own_number(t: Column) -> Column:
     return t["token"] == F.concat(F.lit("["), t["cat"], F.lit("_"), t["n"].cast("string"), F.lit("]"))
 
 
-def shared(df: DataFrame, case: str, order: list[str], text: str, allow: Iterable[str] | None = None) -> DataFrame:
+def shared(df: DataFrame, case: str, order: list[str], text: str, allow: Iterable[str] | DataFrame | None = None) -> DataFrame:
     """``df`` with ``redacted``, ``tokens`` (those that the text uses), ``known`` (how many the case has so far) and
     ``unclassified``.
 

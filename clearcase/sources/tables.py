@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clearcase.session import checkpoint_dir
+from clearcase.sources import ledger
 
 _OWNERS: list[list[str]] = []
 
@@ -43,9 +44,13 @@ def owned(spark: SparkSession) -> Iterator[None]:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def append_usage(rows: DataFrame, path: str, at: str = "created_at") -> None:
-    """Usage rows appended by month, so a bill reads its own partition only."""
-    rows.withColumn("period", F.date_format(at, "yyyy-MM")).write.mode("append").partitionBy("period").parquet(path)
+def append_usage(rows: DataFrame, path: str, at: str = "created_at", batch: str | None = None) -> None:
+    """Usage rows appended by month, so a bill reads its own partition only; a ``batch`` is appended once (``ledger.read``)."""
+    rows = rows.withColumn("period", F.date_format(at, "yyyy-MM"))
+    if batch is not None:
+        ledger.append_once(rows, path, "usage", batch, "period")
+    else:
+        rows.write.mode("append").partitionBy("period").parquet(path)
 
 
 def missing_runs(planned: DataFrame, recorded: DataFrame, *keys: str) -> DataFrame:
@@ -53,5 +58,9 @@ def missing_runs(planned: DataFrame, recorded: DataFrame, *keys: str) -> DataFra
     return planned.join(recorded.select(*keys), list(keys), "left_anti")
 
 
-def append_runs(runs: DataFrame, path: str) -> None:
-    runs.write.mode("append").partitionBy("fixture").parquet(path)
+def append_runs(runs: DataFrame, path: str, batch: str | None = None) -> None:
+    """Run records appended by fixture; a ``batch`` is appended once (``ledger.read``)."""
+    if batch is not None:
+        ledger.append_once(runs, path, "runs", batch, "fixture")
+    else:
+        runs.write.mode("append").partitionBy("fixture").parquet(path)
