@@ -207,10 +207,10 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     strings = written(_fetched(picked.join(lists.hint("merge"), "uid"), length))
     marks = written(_repeated(strings, length, 0))
     whole = F.expr(f"cast(array(struct(0 as low, starts as high)) as {RUNS})")
-    many = wanted.filter("n > 1").select("anchor", "f1", "f2", F.lit(True).alias("many"))
-    rest = hits.filter("NOT alike").join(many, ["anchor", "f1", "f2"], "left").join(marks, ["anchor", "f1", "f2"], "left")
+    once = wanted.filter("n = 1").select("anchor", "f1", "f2")
+    known = written(marks.join(once, ["anchor", "f1", "f2"]).unionByName(wanted.filter("n > 1").select("anchor", "f1", "f2", whole.alias("runs"))))
     runs = hits.filter("alike").select("uid", "first", whole.alias("runs")).unionByName(
-        rest.select("uid", "first", F.when(F.col("many"), whole).otherwise(F.col("runs")).alias("runs")).filter("runs IS NOT NULL")
+        hits.filter("NOT alike").join(known, ["anchor", "f1", "f2"]).select("uid", "first", "runs")
     )
     placed = runs.select("uid", F.explode(F.expr("transform(runs, r -> struct(r.low + first as low, r.high + first as high))")).alias("run"))
     spans = written(placed.groupBy("uid").agg(F.collect_list("run").alias("runs")))
