@@ -34,8 +34,9 @@ CUES = {
     "phone": "phone|call|tel|mobile|fax|reach|llam|appel|ruf",
 }
 COUNTER = r"version|release|section|chapter|license|isbn|figure|page|build|v$"
-#: Characters of context before and after a candidate.
-CONTEXT = 32
+#: Characters of context before a candidate, and of the chunks they are read from (a text is scanned from its start for
+#: any place in it).
+CONTEXT, CHUNK = 32, 128
 VOTES = ("form", "check", "gazetteer", "cue", "edge")
 
 SPAN = "array<struct<s:int,e:int,m:string>>"
@@ -47,15 +48,19 @@ def quoted(pattern: str) -> str:
 
 def matches(text: str, pattern: str, gate: str) -> str:
     """SQL for the matches of ``pattern`` in ``text``: start, end (code points), text. Offsets add up what lies between
-    matches and the matches, so the text is scanned twice whatever their number; texts that fail the gate are not."""
+    matches and the matches, so the text is scanned twice whatever their number; texts that fail the gate are not. They
+    are added in blocks of about the root of their number, for an array that grows is copied at each step."""
     p = quoted(pattern)
-    return f"""IF({gate}, aggregate(
-        zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (g, m) -> struct(length(g) AS g, m AS m)),
-        struct(0 AS at, cast(array() AS {SPAN}) AS found),
-        (a, x) -> IF(x.m IS NULL, a, struct(
-            a.at + x.g + length(x.m) AS at,
-            concat(a.found, array(struct(a.at + x.g AS s, a.at + x.g + length(x.m) AS e, x.m AS m))) AS found)),
-        a -> a.found), cast(array() AS {SPAN}))"""
+    parts = f"filter(zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (g, m) -> struct(length(g) AS g, m AS m)), x -> x.m IS NOT NULL)"
+    width = "greatest(int(ceil(sqrt(size(z)))), 1)"
+    last = "get(done, size(done) - 1)"
+    return f"""IF({gate}, get(transform(array({parts}), z -> flatten(aggregate(
+        transform(sequence(0, int(floor(greatest(size(z) - 1, 0) / {width}))), k -> slice(z, k * {width} + 1, {width})),
+        cast(array() AS array<{SPAN}>),
+        (done, block) -> array_append(done, aggregate(block,
+            struct(coalesce(get({last}, size({last}) - 1).e, 0) AS at, cast(array() AS {SPAN}) AS found),
+            (a, x) -> struct(a.at + x.g + length(x.m) AS at, array_append(a.found, struct(a.at + x.g AS s, a.at + x.g + length(x.m) AS e, x.m AS m)) AS found),
+            a -> a.found))))), 0), cast(array() AS {SPAN}))"""
 
 
 def valid(kind: str, m: str) -> str:
@@ -88,9 +93,11 @@ def gazetteer(kind: str, m: str) -> str:
 
 def voted(kind: str, found: str, form: int) -> str:
     """SQL for candidates: spans with every labeler's vote (1 personal data, -1 not, 0 none) and a form flag."""
-    before = f"lower(substring(text, greatest(x.s - {CONTEXT}, 0) + 1, least(x.s, {CONTEXT})))"
-    after = "substring(text, x.e + 1, 1)"
-    last = "IF(x.s > 0, substring(text, x.s, 1), ' ')"
+    chunk = lambda at: f"coalesce(get(chunks, int({at})), '')"
+    ahead = f"right(concat({chunk(f'x.s div {CHUNK} - 1')}, substring({chunk(f'x.s div {CHUNK}')}, 1, x.s % {CHUNK})), {CONTEXT})"
+    before = f"lower({ahead})"
+    after = f"substring({chunk(f'x.e div {CHUNK}')}, x.e % {CHUNK} + 1, 1)"
+    last = f"IF(x.s > 0, right({ahead}, 1), ' ')"
     return f"""transform({found}, x -> struct(x.s AS s, x.e AS e, {KINDS.index(kind)} AS kind,
         {form} AS form,
         {f"IF({valid(kind, 'x.m')}, 1, -1)"} AS check,
@@ -107,7 +114,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
     parts = [voted(k, matches("text", patterns[k], gates[k]), 1) for k in KINDS]
     parts += [voted(k, matches("text", LOOSE[k], loose_gates[k]), 0) for k in LOOSE]
-    return docs.withColumn("found", F.expr(f"concat({', '.join(parts)})"))
+    pieces = f"IF({digit} OR contains(text, '@') OR contains(text, 'at)') OR contains(text, 'at]'), regexp_extract_all(text, '(?s).{{1,{CHUNK}}}', 0), cast(array() AS array<string>))"
+    return docs.withColumn("chunks", F.expr(pieces)).withColumn("found", F.expr(f"concat({', '.join(parts)})")).drop("chunks")
 
 
 @dataclasses.dataclass

@@ -181,7 +181,7 @@ def rolled_up(nodes: DataFrame, trail: DataFrame) -> DataFrame:
     components are split at their centroids in one round; a centroid's total goes to the nodes between it and the
     component's top. Components that fit a task are split there.
     """
-    live = nodes.withColumn("comp", F.lit(ROOT))
+    live = written(nodes.withColumn("comp", F.lit(ROOT)))
     ready, added = [], []
     while True:
         sizes = live.groupBy("comp").agg(F.count("*").alias("many"), F.max("weight").alias("all"), F.min("depth").alias("top"))

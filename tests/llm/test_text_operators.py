@@ -404,3 +404,21 @@ def test_spelling_is_a_distribution(spark):
     assert abs(total - 1) < 1e-9
 
 
+
+
+def test_candidates_of_one_long_text_cost_in_proportion(spark):
+    """64,000 numbers in one row cost at most 20 times 4,000, and offsets and contexts are those of plain Python."""
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, "12;" * n)], "doc_id long, text string").repartition(1)
+        start = time.time()
+        assert pii.candidates(df).select(F.size("found")).first()[0] == n
+        return time.time() - start
+
+    seconds(10)
+    assert seconds(64_000) < 20 * max(seconds(4000), 1.0)
+    text = "é中🙂 " * 70 + "mail ann.lee@mail.example.com now " + "x" * 200 + " call +1 (462) 555-7216 or card 4111 1111 1111 1111"
+    found = pii.candidates(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["found"]
+    spans = {(pii.KINDS[c["kind"]], text[c["s"] : c["e"]], c["cue"]) for c in found if c["check"] == 1}
+    assert {("email", "ann.lee@mail.example.com", 1), ("phone", "+1 (462) 555-7216", 1), ("card", "4111 1111 1111 1111", 1)} <= spans
