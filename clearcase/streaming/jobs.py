@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from clearcase import fixed_values as fv
@@ -62,6 +63,57 @@ def limit_breaches(requests: DataFrame, delay: str = "30 seconds") -> DataFrame:
     return counted.withColumn("breach", F.col("in_window") > ev.limit_of(F.col("class")))
 
 
+class Trailing(StatefulProcessor):
+    """The same counts with state of its own per (class, key, minute): counters of two minutes and one timer.
+
+    The timer fires when the watermark has passed the minute; the counts then go out and the state is removed, so a key
+    that falls silent leaves nothing behind.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counters = handle.getValueState("counters", STATE)
+
+    def _held(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.counters.exists():
+            return np.zeros(0, "int64"), np.zeros(0, "int64")
+        return tuple(np.array(x, dtype="int64") for x in self.counters.get())
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = np.concatenate([b["at_ms"].to_numpy("int64") for b in rows])
+        times, counts = self._held()
+        merged, where = np.unique(np.concatenate([times, new]), return_inverse=True)
+        total = np.bincount(where, weights=np.concatenate([counts, np.ones(len(new))])).astype("int64")
+        self.counters.update((merged.tolist(), total.tolist()))
+        self.handle.registerTimer(max((int(key[2]) + 1) * WIDTH_MS, timerValues.getCurrentWatermarkInMs() + 1))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        times, counts = self._held()
+        if not len(times):  # another timer of this minute was first
+            return
+        self.counters.clear()
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        own = np.flatnonzero(times // WIDTH_MS == int(key[2]))
+        seen = upto[own + 1] - upto[np.searchsorted(times, times[own] - WIDTH_MS, side="left")]
+        yield pd.DataFrame({"class": key[0], "key": key[1], "at_ms": times[own], "requests": counts[own], "in_window": seen})
+
+    def close(self) -> None:
+        pass
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def limit_breaches_with_timers(requests: DataFrame, delay: str = "30 seconds") -> DataFrame:
+    """``limit_breaches`` by arbitrary state with timers; the session's state store must be RocksDB (``ROCKSDB``)."""
+    minute = F.floor(F.col("at_ms") / WIDTH_MS)
+    slots = F.array(F.struct(minute.alias("m")), F.struct((minute + 1).alias("m")))
+    placed = requests.withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", delay).select("*", F.inline(slots))
+    counted = placed.groupBy("class", "key", "m").transformWithStateInPandas(Trailing(), BREACH, "append", "eventTime")
+    return counted.withColumn("breach", F.col("in_window") > ev.limit_of(F.col("class")))
+
+
 def sliding_counts(requests: DataFrame, delay: str = "2 minutes") -> DataFrame:
     timed = requests.withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", delay)
     return ev.sliding_counts(timed)

@@ -95,3 +95,28 @@ def test_phi_gate(spark, tmp_path):
     assert q.exception() is None
     clean = {r.id: r.redacted for r in spark.read.parquet(str(tmp_path / "clean")).collect()}
     assert clean[1] == "Seen on [DATE_1] for pain." and clean[2] == "call [EMAIL_1]"
+
+
+def test_breaches_by_timers_equal_batch_across_a_restart(spark, requests, tmp_path):
+    """The stream stops after half of its files and goes on from its checkpoint; together it gives what batch gives."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, jobs.ROCKSDB)
+    last = requests.agg(F.max("at_ms")).first()[0]
+    closing = requests.limit(1).withColumn("at_ms", F.lit(last + 3_600_000).cast("bigint"))
+    ordered = requests.unionByName(closing).orderBy("at_ms").toPandas()
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    half = len(ordered) // 2
+    try:
+        for part in (ordered.iloc[:half], ordered.iloc[half:]):
+            spark.createDataFrame(part, requests.schema).coalesce(1).write.mode("append").parquet(folder)
+            source = spark.readStream.schema(requests.schema).parquet(folder)
+            q = jobs.limit_breaches_with_timers(source).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+            q.awaitTermination(240)
+            assert q.exception() is None
+    finally:
+        spark.conf.set(name, before)
+    got = spark.read.parquet(out).where(F.col("at_ms") <= last)
+    want = ev.trailing_requests(requests).groupBy("class", "key", "at_ms", "in_window", "breach").agg(F.count("*").alias("requests"))
+    cols = ("class", "key", "at_ms", "requests", "in_window", "breach")
+    assert rows(got, *cols) == rows(want, *cols)
