@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clearcase import fixed_values as fv
 from clearcase.functions import text as tx
 from clearcase.sources.extractions import MARK, marked_fields
 
@@ -218,6 +219,11 @@ def validated(records: DataFrame, charts: DataFrame) -> DataFrame:
 
 # ---- projections -------------------------------------------------------------
 
+def without_demo_patients(df: DataFrame) -> DataFrame:
+    """Records that do not bear a demonstration patient's name."""
+    return df.where(~F.coalesce(tx.strip("patient_name").isin(fv.DEMO_PATIENTS), F.lit(False)))
+
+
 def letter_safe(df: DataFrame) -> DataFrame:
     """What a letter writer may see: no validation, scores, flags or warnings."""
     hidden = ("hard_blocks", "soft_warnings", "strength", "risk_flags", "extraction_warnings")

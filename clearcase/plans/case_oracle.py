@@ -7,6 +7,12 @@ from clearcase.bindings import cte
 from clearcase.operators import rules as rl
 
 
+def keyed_hash(v: str, key: str) -> str:
+    """HMAC-SHA256 of the trimmed lower-case text, put together of SHA-256 of bytes (keys up to 64 bytes)."""
+    pad = lambda x: "".join(f"\\x{b ^ x:02X}" for b in key.encode().ljust(64, b"\0"))
+    return f"sha256('{pad(0x5C)}'::BLOB || unhex(sha256('{pad(0x36)}'::BLOB || encode(lower(trim({v}))))))"
+
+
 def text(v: str) -> str:
     return f"CASE WHEN json_type({v}) = 'VARCHAR' THEN nullif(trim({v} ->> '$'), '') END"
 

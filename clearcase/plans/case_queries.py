@@ -96,7 +96,16 @@ def record_soft_warnings(spark, sf):
     return checked.select("case_id", joined(kinds).alias("fields"))
 
 
-@query("chart_surgeon_mismatch")
+# A name as RE2 reads it; a quote in SQL is two.
+_NAME = r"([A-Z][A-Za-z.''\-]+(?:\s+[A-Z][A-Za-z.''\-]+){1,3})"
+
+
+@query("chart_surgeon_mismatch", rf"""WITH {o.NORM}, {cte('charts')},
+s AS (SELECT chart_id, coalesce(nullif(regexp_extract(text, '(?i)(?:attending surgeon|surgeon|orthopedic surgeon|performed by|scheduled with|requesting surgeon)\s*[:\-]?\s*{_NAME}', 1), ''),
+  nullif(regexp_extract(text, '(?i)(?:Dr\.?\s+)?{_NAME}\s*,?\s*(?:MD|DO)\b', 1), '')) AS n FROM charts),
+t AS (SELECT chart_id, trim(regexp_replace(regexp_replace(n, '\s+', ' ', 'g'), '[;,.]+$', '')) AS n FROM s)
+SELECT case_id, n AS chart_surgeon, coalesce(n <> '' AND NOT contains(lower(provider_name), lower(n)) AND NOT contains(lower(n), lower(provider_name)), false) AS mismatch
+FROM norm LEFT JOIN t ON t.chart_id = norm.chart_id""")
 def chart_surgeon_mismatch(spark, sf):
     """Surgeon named in the chart and whether the request's provider differs."""
     checked = nz.validated(records(spark, sf), bound(spark, sf, "charts"))
@@ -146,10 +155,7 @@ def clinical_json_facts(spark, sf):
 
 @query("demo_record_exclusion", f"WITH {o.NORM} SELECT count(*) AS n FROM norm WHERE trim(coalesce(patient_name, '')) NOT IN ('Maria A. Delgado', 'Robert Chen', 'Eleanor Vance')")
 def demo_record_exclusion(spark, sf):
-    from clearcase.fixed_values import DEMO_PATIENTS
-
-    kept = records(spark, sf).where(~F.coalesce(F.trim("patient_name").isin(DEMO_PATIENTS), F.lit(False)))
-    return kept.agg(F.count("*").alias("n"))
+    return nz.without_demo_patients(records(spark, sf)).agg(F.count("*").alias("n"))
 
 
 @query("appeal_request_checks", f"""WITH {cte('outcomes')}
@@ -443,7 +449,7 @@ def warning_resolutions(spark, sf):
     return fixed.select("case_id", nz.resolution_lines(state).alias("lines"))
 
 
-@query("patient_name_hash")
+@query("patient_name_hash", f"WITH {o.NORM} SELECT case_id, {o.keyed_hash('patient_name', HASH_KEY)} AS patient_name_hash FROM norm WHERE patient_name IS NOT NULL")
 def patient_name_hash(spark, sf):
     return records(spark, sf).where("patient_name IS NOT NULL").select("case_id", tx.keyed_hash("patient_name", HASH_KEY).alias("patient_name_hash"))
 

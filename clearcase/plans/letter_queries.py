@@ -85,7 +85,18 @@ def letter_ungrounded_doses(spark, sf):
     return letters(spark, sf).select("case_id", "attempt", F.explode(gr.doses_missing(F.col("letter"), F.col("facts"))).alias("dose"))
 
 
-@query("letter_ungrounded_limitations")
+_WORDS = lambda v: f"list_distinct(list_filter(regexp_split_to_array({v}, '\\s+'), lambda w: length(w) > 3))"
+_CLAIM = " UNION ALL ".join(
+    f"SELECT case_id, attempt, functional_limitations, s, unnest(regexp_extract_all(s, {lit(p)})) AS m, unnest(regexp_extract_all(s, {lit(p)}, 1)) AS c FROM k" for p in gr.LIMITATION_CLAIMS)
+
+
+@query("letter_ungrounded_limitations", f"""WITH {LETTERS},
+s AS (SELECT case_id, attempt, functional_limitations, trim(unnest(regexp_split_to_array(regexp_replace(regexp_replace(letter, '\\n+', ' ', 'g'), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)))) AS s FROM l),
+k AS (SELECT * FROM s WHERE s <> '' AND NOT regexp_matches(s, '(?i)activities of daily living')),
+c AS (SELECT *, lower(trim(c)) AS claim FROM ({_CLAIM})),
+u AS (SELECT * FROM c WHERE len(list_filter(functional_limitations, lambda a: contains(lower(a), left(claim, 15)) OR contains(claim, left(lower(a), 15))
+  OR len(list_intersect({_WORDS('claim')}, {_WORDS('lower(a)')})) >= 2)) = 0)
+SELECT DISTINCT case_id, attempt, '"' || trim(m) || '"  (sentence: ' || s || ')' AS claim FROM u""")
 def letter_ungrounded_limitations(spark, sf):
     checked = gr.ungrounded_limitations(letters(spark, sf), "letter", "functional_limitations")
     return checked.select("case_id", "attempt", F.explode("limitations_missing").alias("claim"))
