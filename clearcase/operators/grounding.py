@@ -45,8 +45,12 @@ def with_date_facts(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def ungrounded_dates(df: DataFrame, letter: str, facts: str, letter_date: str) -> DataFrame:
-    """Adds ``dates_missing``: dates and durations of the letter that the record does not hold in any format."""
-    df = with_date_facts(df, facts, "_fact_dates")
+    """Adds ``dates_missing``: dates and durations of the letter that the record does not hold in any format.
+
+    A record's dates in ``fact_dates`` (``with_date_facts``) are taken as they are, so that they are found once for a record
+    and not once for each of its drafts.
+    """
+    df = df.withColumnRenamed("fact_dates", "_fact_dates") if "fact_dates" in df.columns else with_date_facts(df, facts, "_fact_dates")
     df = df.withColumn("_claims", tx.find_all(letter, *tx.LETTER_DATES, tx.DURATION))
     loose = F.filter("_claims", lambda v: (v != F.col(letter_date)) & ~tx.contains(F.col(facts), v))
     df = df.withColumn("_claims", F.transform(loose, lambda v: F.struct(v.alias("v"), tx.canonical_date(v).alias("d"))))
@@ -55,8 +59,10 @@ def ungrounded_dates(df: DataFrame, letter: str, facts: str, letter_date: str) -
 
 
 def terms_missing(letter: Column, facts: Column) -> Column:
-    terms = F.array(*[F.lit(t) for t in fv.HIGH_RISK_TERMS])
-    return F.filter(terms, lambda t: tx.contains(F.lower(letter), F.lower(t)) & ~tx.contains(F.lower(facts), F.lower(t)))
+    """High-risk terms of the letter that the record does not use. Both texts are lower-cased once, not once a term."""
+    terms = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(t.lower()).alias("low")) for t in fv.HIGH_RISK_TERMS])
+    both = F.struct(F.lower(letter).alias("l"), F.lower(facts).alias("f"))
+    return tx.let(both, lambda x: F.transform(F.filter(terms, lambda t: tx.contains(x["l"], t["low"]) & ~tx.contains(x["f"], t["low"])), lambda t: t["t"]))
 
 
 def doses_missing(letter: Column, facts: Column) -> Column:

@@ -51,7 +51,7 @@ LETTERS = f"""{o.NORM}, {cte('drafts')}, l AS (SELECT d.case_id, d.attempt, d.le
 
 
 def letters(spark, sf):
-    facts = records(spark, sf).withColumn("facts", nz.clinical_json())
+    facts = gr.with_date_facts(records(spark, sf).withColumn("facts", nz.clinical_json()), "facts", "fact_dates")
     return bound(spark, sf, "drafts").withColumnRenamed("text", "letter").join(facts, "case_id")
 
 
