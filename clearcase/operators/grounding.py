@@ -128,6 +128,17 @@ def record_against_chart(df: DataFrame, chart: str = "chart_text") -> DataFrame:
     )).drop("_claims", "_chart_dates")
 
 
+def with_extraction_warnings(checked: DataFrame, qa: DataFrame, key: str = "case_id") -> DataFrame:
+    """Adds ``extraction_warnings``: the ``discrepancies`` of each record, then what a model's own check said of it.
+
+    ``qa`` is (key, seq, warning); its rows are brought together per record in the order of ``seq``. Neither list blocks
+    anything, and a record that only one of them names has that one's.
+    """
+    said = qa.where(F.col("warning").isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "warning"))).alias("_qa"))
+    both = F.concat("discrepancies", F.coalesce(F.transform("_qa", lambda x: x["warning"]), none()))
+    return checked.join(said, key, "left").withColumn("extraction_warnings", both).drop("_qa")
+
+
 # ---- evaluation checks --------------------------------------------------------
 
 def canonical_limitation(c: Column) -> Column:

@@ -174,3 +174,15 @@ def attention_items(cases: DataFrame, acknowledged: Column | None = None) -> Dat
         F.nullif(f["anchor"], F.lit("")).alias("anchor"), F.array_contains(done, f["id"]).alias("done")).cast(shape))
     return cases.withColumn("items", F.concat(fixes, risks)).withColumn(
         "open_count", F.size(F.filter("items", lambda i: ~i["done"])))
+
+
+def fixes_from_cache(failing: DataFrame, cache: DataFrame, salts: int = 16) -> DataFrame:
+    """``failing`` (patient_name, factor, ...) with the ``fix`` that the cache has for its patient and factor, else null.
+
+    Of several cached fixes of a key the greatest counts. A patient with a third of all cases is dealt out over salts, which
+    the cache, one row per key, is repeated for. A null patient has no fix.
+    """
+    one = cache.where(F.col("patient_name").isNotNull()).groupBy("patient_name", "factor").agg(F.max("fix").alias("fix"))
+    spread = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = failing.withColumn("_salt", F.pmod(F.xxhash64(*failing.columns), F.lit(salts)).cast("int"))
+    return dealt.join(spread, ["patient_name", "factor", "_salt"], "left").drop("_salt")

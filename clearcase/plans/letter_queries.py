@@ -118,13 +118,16 @@ def chart_pending_imaging(spark, sf):
     return bound(spark, sf, "charts").select("chart_id", gr.has_pending_imaging("text").alias("pending"))
 
 
-@query("record_chart_discrepancies", f"""WITH {o.NORM}, {cte('charts')},
+DISCREPANCIES = f"""WITH {o.NORM}, {cte('charts')},
 j AS (SELECT norm.*, c.text, list_transform({find('c.text', RECORD_DATES)}, lambda x: {canon('x')}) AS known FROM norm JOIN charts c ON c.chart_id = norm.chart_id),
 k AS (SELECT case_id, text, known, t.treatment AS treatment, unnest({find('t.dates', RECORD_DATES)}) AS d FROM (SELECT *, unnest(treatments) AS t FROM j) WHERE t.dates <> 'Not documented')
 SELECT case_id, 'date of birth: ' || date_of_birth AS discrepancy FROM j WHERE NOT contains(text, date_of_birth) AND NOT coalesce(list_contains(known, {canon('date_of_birth')}), false)
 UNION ALL SELECT case_id, 'diagnosis code: ' || c FROM (SELECT case_id, text, unnest(diagnosis_codes) AS c FROM j) WHERE NOT contains(lower(text), lower(c))
 UNION ALL SELECT case_id, 'treatment date: ' || d || ' of ' || treatment FROM k WHERE NOT contains(text, d) AND NOT coalesce(list_contains(known, {canon('d')}), false)
-UNION ALL SELECT case_id, 'imaging may be pending' FROM j WHERE imaging_status = 'completed' AND len({_PEND}) > 0""")
+UNION ALL SELECT case_id, 'imaging may be pending' FROM j WHERE imaging_status = 'completed' AND len({_PEND}) > 0"""
+
+
+@query("record_chart_discrepancies", DISCREPANCIES)
 def record_chart_discrepancies(spark, sf):
     charts = bound(spark, sf, "charts").select("chart_id", F.col("text").alias("chart_text"))
     checked = gr.record_against_chart(records(spark, sf).join(charts, "chart_id"))
