@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from clearcase.llm.common import text_slices
 
 LENGTH, END = 4096, 2
-#: Documents of a group: large enough for almost no waste in its last sequences, small enough for one task's memory.
-GROUP_ROWS = 2000
+#: Documents and text bytes of a group: large enough for almost no waste in its last sequences, small enough for one task's memory.
+GROUP_ROWS, GROUP_BYTES = 2000, 32_000_000
 MEMO = 1_000_000
 
 
@@ -131,14 +131,16 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, doc
 def packed(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, group_rows: int = GROUP_ROWS, seed: int = 7) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, sequence_id, offset): every piece with its place.
 
-    Documents go to randomised groups by a hash of the id, the text's length and checksum, whose number follows the
-    row count; each group is packed alone by first-fit decreasing. Full pieces fill a sequence of their own. A null id
-    is an id of its own; repeated rows are packed each; an empty table gives an empty one.
+    Pieces go to randomised groups by a hash of the id, the start, the checksum of the ids and the row's place, so that
+    rows that repeat spread too; the groups' number follows the rows and the bytes. Each group is packed alone by first-fit
+    decreasing. Full pieces fill a sequence of their own. A null id is an id of its own; repeated rows are packed each; an
+    empty table gives an empty one.
     """
-    groups = max(1, -(-docs.count() // group_rows))
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    groups = max(1, -(-rows // group_rows), -(-size // GROUP_BYTES))
     split = pieces(docs, path, length, end)
-    # Salted by the piece itself: copies of one row, were they a third of all, still spread over the groups.
-    where = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", F.crc32("ids")), F.lit(groups))
+    # A row's place is the same whenever its split of the input is read again.
+    where = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", F.crc32("ids"), F.monotonically_increasing_id()), F.lit(groups))
 
     def place(group: pa.Table) -> pa.Table:
         group = group.sort_by([("doc_id", "ascending"), ("start", "ascending")])

@@ -422,3 +422,10 @@ def test_candidates_of_one_long_text_cost_in_proportion(spark):
     found = pii.candidates(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["found"]
     spans = {(pii.KINDS[c["kind"]], text[c["s"] : c["e"]], c["cue"]) for c in found if c["check"] == 1}
     assert {("email", "ann.lee@mail.example.com", 1), ("phone", "+1 (462) 555-7216", 1), ("card", "4111 1111 1111 1111", 1)} <= spans
+
+
+def test_repeated_rows_spread_over_packing_groups(spark):
+    rows = [(1, "the same row again")] * 4000 + [(k, f"row number {k}") for k in range(2, 4002)]
+    placed = packing.packed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), PATH).groupBy((F.col("sequence_id") / (1 << 32)).cast("int")).count().collect()
+    sizes = [r["count"] for r in placed]
+    assert sum(sizes) == len(rows) and len(sizes) == 4 and max(sizes) < 1.2 * len(rows) / 4
