@@ -343,37 +343,65 @@ def test_scores_know_the_words_before(spark):
     assert found[held[0]] > found[held[1]] / 4
 
 
-def test_sequence_counts_equal_brute_force():
-    draw, texts = random.Random(7), []
-    for chunk in range(2):
-        texts.append([" ".join(draw.choice("abc") for _ in range(draw.randint(0, 6))) for _ in range(30)])
-    held = [k % 5 == 0 for k in range(30)]
-    tables = [lm.tokenized(pa.table({"chunk": pa.array([c] * 30, pa.int32()), "text": t, "doc_id": list(range(30)), "held_out": held, "language": pa.array([-1] * 30, pa.int32())}), 2)
-              for c, t in enumerate(texts)]
-    sent = pa.concat_tables(tables)
-    sent = sent.filter(pc.is_valid(sent["part"]))
-    back = pa.concat_tables([lm.sequence_counts(sent.filter(pc.equal(sent["part"], k))) for k in range(2)])
-    pairs, triples, ones = Counter(), Counter(), Counter()
-    padded = lambda t: [None, *t.split(), None]
-    for chunk in texts:
-        for t, h in zip(chunk, held):
-            if not h:
-                w = padded(t)
-                ones.update(w[1:])
-                pairs.update(zip(w, w[1:]))
-                triples.update(zip(w, w[1:], w[2:]))
-    for c, table in enumerate(tables):
-        words, bag = table.filter(pc.is_valid(table["word"])), table.filter(pc.is_valid(table["codes"])).select(["codes", "held_out"])
-        bag = pa.concat_tables([bag, back.filter(pc.equal(back["chunk"], c)).select(["part", "counts"])], promote_options="default")
-        hashes, count = words["hash"].to_numpy().view(np.uint64), np.array([ones[w or None] for w in words["word"].to_pylist()])
-        codes, _, place = lm.tokens_of(bag.filter(pc.is_valid(bag["codes"]))["codes"].to_pylist(), len(words) - 1)
-        _, (two, three) = lm.shares(codes, place, hashes, count, *lm.met(bag, hashes))
-        want = []
-        for t in texts[c]:
-            w = padded(t)
-            for k in range(1, len(w)):
-                want.append((pairs[w[k - 1], w[k]] / max(1, ones[w[k - 1]]), triples[tuple(w[k - 2 : k + 1])] / max(1, pairs[w[k - 2], w[k - 1]]) if k > 1 else 0))
-        assert np.allclose(np.stack([two, three], axis=1), want)
+def test_bits_of_words_equal_a_plain_mixer():
+    """Held-out tokens by dictionaries of counts; the codes of all words sum to one after any context."""
+    draw, n = random.Random(7), 12
+    hashes = np.array([draw.getrandbits(63) for _ in range(n + 1)], np.uint64)
+    c = np.array([9 - k // 2 for k in range(n)] + [40])
+    code = np.array([((32 | (1 + k // 4)) << 2) | k % 4 for k in range(n)] + [(32 | 5) << 0])
+    rank = np.empty(n + 1, np.int64)
+    rank[np.lexsort((hashes, c))] = np.arange(n + 1)
+    texts = [[draw.choice([0, 1, 2, draw.randrange(n)]) for _ in range(draw.randint(0, 9))] for _ in range(60)]
+    codes, doc, place = lm.tokens_of([np.array(t, np.int32).tobytes() for t in texts], n)
+    before, held = lm.word_contexts(codes, doc, place, hashes, rank), doc % 5 == 0
+    again, odds = np.ones((3, len(codes)), bool), lm.class_odds({1: 50, 2: 30, 3: 20, 5: 60})
+    model, none = lm.Mixer.empty(odds), np.zeros(len(codes), bool)
+    model.count(code[codes[~held]], before[:, ~held], again[:, ~held], none[~held], none[~held])
+    found = model.log_probability(code[codes], before, again, none, none, none, model.refined())
+
+    def contexts(t, k):
+        return [max(t[:k], key=lambda w: rank[w], default=None), (t[k - 1] if k else None,), tuple(t[max(0, k - 2) : k])]
+
+    tally = Counter()
+    for d, t in enumerate(texts):
+        if d % 5:
+            for k, w in enumerate([*t, n]):
+                bits = f"{code[w]:b}"
+                tally.update((j, x, bits[:i], bits[i]) for i in range(1, len(bits)) for j, x in enumerate(contexts(t, k)))
+
+    def plain(t, k, w):
+        bits, total = f"{code[w]:b}", 0.0
+        for i in range(1, len(bits)):
+            x = [odds[int(bits[:i], 2)] if i <= lm.CLASS_BITS else 0.0]
+            x += [math.log((tally[j, y, bits[:i], "1"] + lm.DELTA) / (tally[j, y, bits[:i], "0"] + lm.DELTA)) for j, y in enumerate(contexts(t, k))]
+            y = min(12, max(-12, 0.4 * sum(x)))
+            grid = round((y + 12) * (lm.BUCKETS - 1) / 24) * 24 / (lm.BUCKETS - 1) - 12
+            p = (1 / (1 + math.exp(-y)) + 1 / (1 + math.exp(-grid))) / 2
+            total += math.log(p if bits[i] == "1" else 1 - p)
+        return total
+
+    want = [plain(t, k, w) for t in texts for k, w in enumerate([*t, n])]
+    assert np.allclose(found, want, atol=1e-4)
+    classes = [c for c in range(32)]
+    every = [(32 | c) << 2 | k for c in classes for k in range(4)]
+    at = np.full(len(every), 7)
+    p = model.log_probability(np.array(every), before[:, at], again[:, at], none[at], none[at], none[at], model.refined())
+    assert abs(np.exp(p).sum() - 1) < 1e-4
+
+
+def test_copies_meet_in_a_chunk_and_bits_are_returned(spark):
+    draw = random.Random(8)
+    new = lambda: " ".join("".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 12))) for _ in range(120))
+    held = [d for d in range(400) if zlib.crc32(str(d).encode()) % 7 == 2]
+    texts = {d: new() for d in range(400)}
+    taught = [d for d in range(400) if d not in held]
+    for k in range(0, 60, 2):  # trust in longer contexts is learnt from copies among training texts
+        texts[taught[k]] = texts[taught[k + 1]]
+    texts[held[0]] = texts[taught[-1]]
+    rows = {r["doc_id"]: r for r in lm.scored(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert rows[held[0]]["score"] > rows[held[1]]["score"] / 3
+    for d, r in rows.items():
+        assert r["n_bytes"] == len(texts[d]) and abs(r["bits"] + r["score"] * math.log2(10)) < 1e-6 * r["bits"]
 
 
 def test_long_unseen_words_cost_by_their_length(spark):
