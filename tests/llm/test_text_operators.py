@@ -357,7 +357,7 @@ def test_bits_of_words_equal_a_plain_mixer():
     again, odds = np.ones((3, len(codes)), bool), lm.class_odds({1: 50, 2: 30, 3: 20, 5: 60})
     model, none = lm.Mixer.empty(odds), np.zeros(len(codes), bool)
     model.count(code[codes[~held]], before[:, ~held], again[:, ~held], none[~held], none[~held])
-    found = model.log_probability(code[codes], before, again, none, none, none, model.refined())
+    found = model.log_probability(code[codes], before, again, none, model.refined())
 
     def contexts(t, k):
         return [max(t[:k], key=lambda w: rank[w], default=None), (t[k - 1] if k else None,), tuple(t[max(0, k - 2) : k])]
@@ -385,7 +385,7 @@ def test_bits_of_words_equal_a_plain_mixer():
     classes = [c for c in range(32)]
     every = [(32 | c) << 2 | k for c in classes for k in range(4)]
     at = np.full(len(every), 7)
-    p = model.log_probability(np.array(every), before[:, at], again[:, at], none[at], none[at], none[at], model.refined())
+    p = model.log_probability(np.array(every), before[:, at], again[:, at], none[at], model.refined())
     assert abs(np.exp(p).sum() - 1) < 1e-4
 
 
