@@ -7,8 +7,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
