@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clearcase.functions import text as tx
+from clearcase.sources.tables import keyed
 
 BASE_RUNS, ESCALATED_RUNS = 5, 10
 CHARS_PER_TOKEN, INPUT_USD_PER_MILLION, OUTPUT_USD_PER_MILLION = 4, 3, 15
@@ -17,7 +18,7 @@ def compared(records: DataFrame, expectations: DataFrame) -> DataFrame:
     ``expectations``: case_id, field, kind (exact, must_include, contains_ci,
     min_count, present, score), expected_text, expected_codes, expected_num.
     """
-    e = expectations.join(records, "case_id")
+    e = expectations.join(keyed(records), "case_id")
     text_of = F.coalesce(F.when(F.col("field") == "patient_name", F.col("patient_name")).when(F.col("field") == "date_of_birth", F.col("date_of_birth"))
                          .when(F.col("field") == "requested_procedure", F.col("requested_procedure")), F.lit("(null)"))
     count_of = F.when(F.col("field") == "treatments", F.size("treatments")).when(F.col("field") == "functional_limitations", F.size("functional_limitations"))

@@ -36,7 +36,7 @@ def numbered(tokens: DataFrame, case: str, seam: str, place: str, category: str
     firsts = keyed.groupBy(F.col(case).alias("_c"), F.col(category).alias("_k"), F.col(value).alias("_v")).agg(F.min("_at").alias("_first"))
     firsts = firsts.withColumn("number", F.count("*").over(W.partitionBy("_c", "_k").orderBy("_first").rowsBetween(W.unboundedPreceding, 0)))
     same = keyed[case].eqNullSafe(F.col("_c")) & (keyed[category] == F.col("_k")) & (keyed[value] == F.col("_v"))
-    keyed = keyed.join(firsts, same).select(*rows.columns, "number")
+    keyed = keyed.join(firsts.hint("merge"), same).select(*rows.columns, "number")
     return each.unionByName(keyed).drop("_at")
 
 
