@@ -23,3 +23,14 @@ def test_growing_sides_are_not_broadcast(spark, sf, name):
 def test_claims_are_found_once(spark, sf):
     text = plan(spark, sf, "letter_ungrounded_dates")
     assert text.count("regexp_extract_all(letter") == 6  # five shapes of dates and the durations
+
+
+def test_claims_of_sentences_with_and_without_claim_words(spark):
+    from clearcase.operators import grounding as gr
+
+    said = ["Unable to kneel down today", "REQUIRES HELP with dressing", "relies on a cane daily", "Limited capacity to reach up", "The knee hurts.",
+            "cannot perform activities of daily living", "difficulty with stairs"]
+    rows = spark.createDataFrame([(said,)], "s array<string>")
+    found = rows.select(gr.claims_of(rows["s"], gr.LIMITATION_CLAIMS).alias("c")).first()["c"]
+    assert [c["claim"] for c in found] == ["kneel down today", "dressing", "a cane daily", "reach up", "stairs"]
+    assert "require|relie" in plan(spark, "/root/testdata/sf0.001", "letter_ungrounded_limitations")
