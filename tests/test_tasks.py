@@ -1,7 +1,10 @@
 """How the work of heavy tables is dealt over tasks, and that no plan does it twice."""
 
+from pyspark.sql import functions as F
+
 from __spark_entry__ import queries
 from clearcase import bindings
+from clearcase.operators import deid
 
 
 def plan(df):
@@ -24,3 +27,15 @@ def test_tasks_follow_rows_and_not_bytes(spark, sf, monkeypatch):
 def test_letters_meet_their_records_without_moving(spark, sf):
     shown = physical(queries()["letter_ungrounded_doses"](spark, sf))
     assert "SortMergeJoin" in shown and "ENSURE_REQUIREMENTS" not in shown
+
+
+def test_tokens_of_a_record_are_ordered_once(spark):
+    token = "struct('X' AS cat, 1 AS n, '[{0}]' AS token, '{1}' AS raw, CAST(NULL AS STRING) AS key)"
+    rows = spark.sql(f"SELECT struct(array('Ann Lee', 'ANN LEE met ann', 'x', null) AS a, 'Ann' AS b, 3 AS c) AS record, "
+                     f"array({token.format('A', 'Ann')}, {token.format('B', 'Ann Lee')}, {token.format('C', 'x')}) AS tokens")
+    masked = deid.masked_record(rows, "record", "tokens")
+    back = deid.reidentified_record(masked, "record", "tokens")
+    assert plan(masked).count("array_sort") == 1 and plan(back).count("array_sort") == 2
+    got = masked.select("record.*").first()
+    assert list(got.a) == ["[B]", "[B] met [A]", "x", None] and (got.b, got.c) == ("[A]", 3)
+    assert list(back.select(F.col("record.a")).first().a) == ["Ann Lee", "Ann Lee met Ann", "x", None]
