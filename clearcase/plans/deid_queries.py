@@ -179,7 +179,8 @@ def case_token_numbers(spark, sf):
     texts = charts.unionByName(drafts).withColumn("at", F.struct("seam", "item"))
     found = _as_long(deid.spans(texts.withColumn("row", F.struct("patient_id", "at")), "row", "text", *_SEAM_SPANS)).select("row.patient_id", "row.at", "category", "pos", "raw")
     value = F.when(~F.col("category").isin("phone", "email", "ssn", "ip"), F.lower(F.trim("raw")))
-    done = seams.numbered(found.withColumn("value", value), "patient_id", "at", "pos")
+    # Written once: the numbering reads its rows three times, and each time would search all texts again.
+    done = seams.numbered(settled(found.withColumn("value", value)), "patient_id", "at", "pos")
     return done.select("patient_id", "at.seam", "at.item", "category", "pos", "raw", F.col("number").cast("bigint").alias("number"))
 
 
