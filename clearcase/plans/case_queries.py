@@ -234,9 +234,10 @@ def factor_failure_rates(spark, sf):
   UNION ALL SELECT case_id, generate_subscripts(treatments, 1) - 1, unnest(treatments).duration FROM norm)
 SELECT case_id, pos, CASE WHEN pos IS NULL THEN {o.symptom_weeks('d')} ELSE {o.weeks("d")} END AS weeks, coalesce({o.has_duration("d")}, false) AS has_duration FROM t""")
 def duration_parsing(spark, sf):
-    """The symptom's and every treatment's duration."""
-    stated = records(spark, sf).select("case_id", F.lit(None).cast("bigint").alias("pos"), F.col("symptom_duration").alias("d")).unionByName(
-        records(spark, sf).select("case_id", F.posexplode("treatments").alias("pos", "t")).select("case_id", F.col("pos").cast("bigint").alias("pos"), F.col("t.duration").alias("d")))
+    """The symptom's and every treatment's duration; one pass over the records, as a union of two would parse them twice."""
+    of = lambda pos, d: F.struct(pos.cast("bigint").alias("pos"), d.alias("d"))
+    every = F.concat(F.array(of(F.lit(None), F.col("symptom_duration"))), F.transform("treatments", lambda t, i: of(i, t["duration"])))
+    stated = records(spark, sf).select("case_id", F.inline(every))
     weeks = F.when(F.col("pos").isNull(), tx.symptom_weeks("d")).otherwise(F.coalesce(tx.payer_weeks(F.col("d")), F.lit(0)))
     return stated.select("case_id", "pos", weeks.alias("weeks"), tx.has_duration(F.col("d")).alias("has_duration"))
 

@@ -29,6 +29,10 @@ def test_letters_meet_their_records_without_moving(spark, sf):
     assert "SortMergeJoin" in shown and "ENSURE_REQUIREMENTS" not in shown
 
 
+def test_durations_parse_each_extraction_once(spark, sf):
+    assert plan(queries()["duration_parsing"](spark, sf)).count("Relation [") == 1
+
+
 def test_case_tokens_search_each_text_once(spark, sf):
     assert "regexp_extract_all" not in plan(queries()["case_token_numbers"](spark, sf))
 
