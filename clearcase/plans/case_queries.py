@@ -12,7 +12,7 @@ from clearcase.operators import scoring as sc
 from clearcase.plans import case_oracle as o
 from clearcase.plans.registry import query
 from clearcase.sources import extractions as ex
-from clearcase.sources.tables import keyed
+from clearcase.sources.tables import keyed, settled
 
 HASH_KEY = "test-key"
 
@@ -258,10 +258,11 @@ def factor_guidance(spark, sf):
 @query("cached_fixes")
 def cached_fixes(spark, sf):
     """Fixes already written for a (patient, factor), joined to today's failing factors of the same patient."""
-    scored = sc.scored(records(spark, sf))
+    scored = settled(sc.scored(records(spark, sf)).select("case_id", "patient_name", "strength"))
     factors = sc.long_factors(scored, "case_id", "patient_name")
     cache = factors.where("score = 1 AND patient_name IS NOT NULL").groupBy("patient_name", "factor").agg(F.max_by("note", "case_id").alias("fix"))
-    return factors.where("score = 0").join(cache, ["patient_name", "factor"], "left").select("case_id", "factor", "fix")
+    failing = factors.where("score = 0").select("case_id", "patient_name", "factor")
+    return sc.fixes_from_cache(failing, cache).select("case_id", "factor", "fix")
 
 
 @query("attention_items", f"""WITH {o.RULED},

@@ -37,6 +37,11 @@ def test_case_tokens_search_each_text_once(spark, sf):
     assert "regexp_extract_all" not in plan(queries()["case_token_numbers"](spark, sf))
 
 
+def test_cached_fixes_deal_out_one_patient(spark, sf):
+    shown = plan(queries()["cached_fixes"](spark, sf))
+    assert "_salt" in shown and "from_json" not in shown
+
+
 def test_tokens_of_a_record_are_ordered_once(spark):
     token = "struct('X' AS cat, 1 AS n, '[{0}]' AS token, '{1}' AS raw, CAST(NULL AS STRING) AS key)"
     rows = spark.sql(f"SELECT struct(array('Ann Lee', 'ANN LEE met ann', 'x', null) AS a, 'Ann' AS b, 3 AS c) AS record, "
