@@ -52,3 +52,14 @@ def test_tokens_of_a_record_are_ordered_once(spark):
     got = masked.select("record.*").first()
     assert list(got.a) == ["[B]", "[B] met [A]", "x", None] and (got.b, got.c) == ("[A]", 3)
     assert list(back.select(F.col("record.a")).first().a) == ["Ann Lee", "Ann Lee met Ann", "x", None]
+
+
+def test_long_projections_are_compiled(spark):
+    """The JVM interprets a method above 8,000 bytes, which parsing a record or filling a letter would be as one stage."""
+    before = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+    try:
+        queries()["factor_failure_rates"](spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+    finally:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", before)
