@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from clearcase import bindings
 from clearcase.operators import deid
+from clearcase.operators import letters as lt
 
 
 def plan(df):
@@ -63,3 +64,11 @@ def test_long_projections_are_compiled(spark):
         assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
     finally:
         spark.conf.set("spark.sql.codegen.hugeMethodLimit", before)
+
+
+def test_labels_of_any_case_and_payers_with_signs_are_filled(spark):
+    texts = ["x\r\n[date]\nUHC (a\\b)\n [ADDRESS]\n[City, State, ZIP]", "uhc (A\\B)\n\n[ADDRESS]\n[City,  State, ZIP]\n[Payer Name] [MD/do]", "[ADDRESS]", None, ""]
+    rows = [(i, t, "N", "1", " UHC (a\\b) ", "P", None, "c", "r", "May $1") for i, t in enumerate(texts)]
+    names = "id long, letter string, patient_name string, date_of_birth string, payer_name string, provider_name string, practice_name string, cpt_code string, requested_procedure string, letter_date string"
+    done = [r.letter for r in lt.filled(spark.createDataFrame(rows, names)).orderBy("id").collect()]
+    assert done == ["x\nMay $1\nUHC (a\\b)\nPrior Authorization Department", "uhc (A\\B)\n\nPrior Authorization Department\nUHC (a\\b) MD", "UHC (a\\b)", None, ""]
