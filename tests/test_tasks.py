@@ -72,3 +72,16 @@ def test_labels_of_any_case_and_payers_with_signs_are_filled(spark):
     names = "id long, letter string, patient_name string, date_of_birth string, payer_name string, provider_name string, practice_name string, cpt_code string, requested_procedure string, letter_date string"
     done = [r.letter for r in lt.filled(spark.createDataFrame(rows, names)).orderBy("id").collect()]
     assert done == ["x\nMay $1\nUHC (a\\b)\nPrior Authorization Department", "uhc (A\\B)\n\nPrior Authorization Department\nUHC (a\\b) MD", "UHC (a\\b)", None, ""]
+
+
+def test_texts_without_a_hint_are_not_searched_and_no_match_is_lost(spark):
+    texts = ["JAN - FEB 2024, sept. 3rd, 2023; 4TH OF MAY 2024; 3 March 2024; x.a-b@c.de %q@r.st (212) 555-0147 1.2.3.4 p.o.box  7 LATE 2023", "AB-12-CD 123-45-6789 2024-01-02 1/2/24 06/2024 May of 2024",
+             "9 Oak Hill Rd. Suite 4 St Ann's Clinic; Dr\tX-Ray Lee, D.O. and Ann B. Cole,\tPA-C; 99 YEAR OLD https://a.b/c", "éDr. Ann 1é23-45-6789", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = deid.spans(rows, "id", "text", *deid.SPAN_PATTERNS)
+    assert plan(found).lower().count("rlike") == len(deid.SPAN_PATTERNS)
+    plain = [rows.select("id", F.lit(c).alias("category"), F.posexplode(F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias("pos", "raw")) for c, p in deid.SPAN_PATTERNS.items()]
+    want = sorted(tuple(r) for df in plain for r in df.collect())
+    assert sorted(tuple(r) for r in found.collect()) == want and {w[1] for w in want} == set(deid.SPAN_PATTERNS)
+    ranges = deid.deidentify(rows.where("id = 0"), "text").first().tokens
+    assert "JAN - FEB 2024" in [t.raw for t in ranges]
