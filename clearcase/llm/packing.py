@@ -18,7 +18,8 @@ from clearcase.llm.common import text_slices
 LENGTH, END = 4096, 2
 #: Documents and text bytes of a group: large enough for almost no waste in its last sequences, small enough for one task's memory.
 GROUP_ROWS, GROUP_BYTES = 2000, 32_000_000
-MEMO = 1_000_000
+#: Words that a worker keeps (760,000 were measured at 178 MB, MEMO_SMALL at 97 MB), and characters of the longest one.
+MEMO, MEMO_SMALL, MEMO_WORD = 1_000_000, 340_000, 64
 
 
 class Tournament:
@@ -66,7 +67,7 @@ class Words(dict):
     # Fixed value: the vocabulary file's own pre-tokenizer pattern, for text within Latin-1.
     pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -75,6 +76,7 @@ class Words(dict):
         self.tokenizer.no_truncation()
         self.model = self.tokenizer.model
         self.level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.memo = memo
 
     def __missing__(self, word: str) -> bytes:
         if word.isascii() and word.isalpha() and word == word.lower():
@@ -82,9 +84,10 @@ class Words(dict):
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         found = array("i", ids).tobytes()
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = found
+        if len(word) <= MEMO_WORD:
+            if len(self) >= self.memo:
+                self.clear()
+            self[word] = found
         return found
 
     def ids(self, text: str) -> bytes:
@@ -98,18 +101,19 @@ class Words(dict):
 
 
 @functools.cache
-def words(path: str) -> Words:
-    return Words(path)
+def words(path: str, memo: int = MEMO) -> Words:
+    return Words(path, memo)
 
 
-def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, doc_id: str = "doc_id", text: str = "text", memo: int = MEMO) -> DataFrame:
     """(doc_id, start, ids binary, doc_tokens): each document's ids and ``end``, cut at multiples of ``length``.
 
-    ``ids`` are little-endian unsigned 32-bit integers. A null or empty text is the end id alone.
+    ``ids`` are little-endian unsigned 32-bit integers. A null or empty text is the end id alone. A worker keeps at most
+    ``memo`` words with their ids, which decides its memory and time, not the result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, step, last = words(path), 4 * length, array("i", [end]).tobytes()
+        known, step, last = words(path, memo), 4 * length, array("i", [end]).tobytes()
         for batch in text_slices(batches):
             keys, starts, parts, totals = [], [], [], []
             for key, value in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -123,12 +127,13 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, doc
                 [pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(parts, pa.binary()), pa.array(totals, pa.int64())],
                 names=["doc_id", "start", "ids", "doc_tokens"],
             )
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, start long, ids binary, doc_tokens long")
 
 
-def packed(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, group_rows: int = GROUP_ROWS, seed: int = 7) -> DataFrame:
+def packed(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, group_rows: int = GROUP_ROWS, seed: int = 7, memo: int = MEMO) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, sequence_id, offset): every piece with its place.
 
     Pieces go to randomised groups by a hash of the id, the start, the checksum of the ids and the row's place, so that
@@ -138,7 +143,7 @@ def packed(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, gro
     """
     rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     groups = max(1, -(-rows // group_rows), -(-size // GROUP_BYTES))
-    split = pieces(docs, path, length, end)
+    split = pieces(docs, path, length, end, memo=memo)
     # A row's place is the same whenever its split of the input is read again.
     where = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", F.crc32("ids"), F.monotonically_increasing_id()), F.lit(groups))
 

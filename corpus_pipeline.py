@@ -35,8 +35,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of what is left."""
-    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Token sequences of what is left; few words are kept, as the stages before share the workers and their memory."""
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), memo=packing.MEMO_SMALL)
 
 
 STAGES = [

@@ -455,3 +455,12 @@ def test_repeated_rows_spread_over_packing_groups(spark):
     placed = packing.packed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), PATH).groupBy((F.col("sequence_id") / (1 << 32)).cast("int")).count().collect()
     sizes = [r["count"] for r in placed]
     assert sum(sizes) == len(rows) and len(sizes) == 4 and max(sizes) < 1.2 * len(rows) / 4
+
+
+def test_packing_keeps_few_and_short_words(tokenizer):
+    known = packing.Words(PATH, 50)
+    for k in range(200):
+        known.ids(f"word{k} " + "z" * 5000)
+        assert len(known) <= 50 and max(map(len, known)) <= packing.MEMO_WORD
+    for text in ("word3 word3 " + "ab" * 400 + " end", "one two three"):
+        assert np.frombuffer(known.ids(text), np.int32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
