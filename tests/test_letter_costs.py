@@ -2,12 +2,14 @@
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from clearcase import fixed_values as fv
 from clearcase.functions import text as tx
 from clearcase.operators import grounding as gr
+from clearcase.operators import letters as lt
 from clearcase.plans import letter_queries as lq
 
 SHAPE = ("letter string, facts string, functional_limitations array<string>, surgical_approach string, treatments array<struct<treatment:string>>, "
@@ -31,6 +33,14 @@ def test_evaluation_lowers_a_letter_once(spark):
     assert plan(gr.evaluation_violations(letters(spark, "The patient cannot dance."))).count("lower(letter#") == 1
 
 
+def test_absence_language_in_long_sentences(spark):
+    """A sentence without an end was searched to its end from each of its characters."""
+    text = "word " * 40_000 + "\nThe date is not recorded. No."
+    start = time.time()
+    left = spark.createDataFrame([(text,)], "t string").select(lt.without_absence_language(F.col("t"))).first()[0]
+    assert left == "word " * 40_000 + "\n No." and time.time() - start < 20
+
+
 def test_dates_are_found_as_by_plain_patterns(spark):
     rng = random.Random(3)
     words = [*fv.MONTH_NAMES, "may", "JUNE", "Juneau", "xMay", "2024", "5,", "15", "1/2/24", "01-02-2024", "12/2023", "2024-01-05", "12024-01-05", "2024-01-055", "late", "Early", "plate",
