@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clearcase.llm.common import written
+from clearcase.llm.common import shuffles_removed, written
 from clearcase.llm.components import components
 
 COSINE = 0.95
@@ -18,6 +19,8 @@ COSINE = 0.95
 BLOCK, TILE, LEAF = 8, 20_000, 48
 #: Vectors from whose medians the cells are cut (balance only; results do not depend on it), and rows of a cell.
 SAMPLE, CELL = 20_000, 5_000
+#: Copies a vector that a round may put on disk on average, and copies that are few enough for one round anyway.
+ROUND, LEAST = 8, 250_000
 #: Room for rounding in block distances; links themselves are decided on the whole vectors.
 SLACK = 1e-9
 
@@ -71,20 +74,33 @@ def sides(y: np.ndarray, rows: np.ndarray, gaps: np.ndarray, axis: int, at: floa
         yield rows[fit], wider[fit]
 
 
-def visits(tree: tuple | None, y: np.ndarray, limit: float) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
-    """(rows, cell, home) for the cells of a tree that the ball around each row touches; a row is at home in one."""
+def visits(tree: tuple | None, y: np.ndarray, limit: float, part: int = 0, depth: int = 0) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """(rows, cell, home) for the cells of a tree that the ball around each row touches; a row is at home in one.
+
+    ``part`` of 2**``depth`` holds the cells below one node of that depth; a cell above that depth is in the first part under it.
+    """
     pile = [(tree, 1, np.arange(len(y)), np.zeros(y.shape), np.ones(len(y), bool))]
     while pile:
         node, number, rows, gaps, home = pile.pop()
-        if not len(rows):
+        above = depth + 1 - number.bit_length()
+        if not len(rows) or (above >= 0 and (number != (1 << depth | part) >> above or (node is None and part & ((1 << above) - 1)))):
             continue
         if node is None:
             yield rows, number, home[rows]
             continue
         axis, at, *below = node
         low = y[:, axis] <= at
-        for k, (part, wider) in enumerate(sides(y, rows, gaps, axis, at, limit)):
-            pile.append((below[k], 2 * number + k, part, wider, home & (low if k == 0 else ~low)))
+        for k, (inside, wider) in enumerate(sides(y, rows, gaps, axis, at, limit)):
+            pile.append((below[k], 2 * number + k, inside, wider, home & (low if k == 0 else ~low)))
+
+
+def rounds_of(copies: dict[int, int], rows: int) -> list[tuple[int, int, int] | None]:
+    """The (block, part, depth) of each round, so that one has about ``ROUND`` copies a row; None: all in one."""
+    most = max(ROUND * rows, LEAST)
+    if sum(copies.values()) <= most:
+        return [None]
+    depths = {k: max(0, math.ceil(math.log2(n / most))) for k, n in copies.items()}
+    return [(k, part, depth) for k, depth in sorted(depths.items()) for part in range(1 << depth)]
 
 
 def neighbours(x: np.ndarray, y: np.ndarray, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -149,19 +165,21 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "ve
         turned = unit(some.filter(pa.array(lengths == size)), kind) @ rotation(size)
         trees[size] = [divided(turned[:, cut], max(64, int(CELL * share))) for cut in blocks_of(size)]
 
-    def cells(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray]]:
-        """(rows, cell codes, block, home) of a batch's visits."""
+    def cells(batch: pa.RecordBatch, only: tuple[int, int, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray]]:
+        """(rows, cell codes, block, home) of a batch's visits; ``only`` those of one (block, part, depth)."""
         sizes = np.array([len(x) // width for x in batch.column("v").to_pylist()])
         for size in np.unique(sizes).tolist():
             of = np.flatnonzero(sizes == size)
             turned = unit(batch.column("v").take(pa.array(of)), kind) @ rotation(size)
             for k, (cut, budget) in enumerate(zip(blocks_of(size), budgets(size, cosine))):
-                for near, cell, home in visits(trees[size][k] if size in trees else None, turned[:, cut], budget + SLACK):
+                if only and only[0] != k:
+                    continue
+                for near, cell, home in visits(trees[size][k] if size in trees else None, turned[:, cut], budget + SLACK, *(only or (0, 0, 0))[1:]):
                     yield of[near], np.full(len(near), ((size * 4096 + k) * 1_000_003 + cell) % (1 << 62), np.int64), k, home
 
-    def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def celled(batches: Iterator[pa.RecordBatch], only: tuple[int, int, int] | None) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows_, code, k, home in cells(batch):
+            for rows_, code, k, home in cells(batch, only):
                 taken = batch.take(pa.array(rows_))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(code), pa.array([k] * len(code), pa.int32()), pa.array(home), *(taken.column(c) for c in ("class", "id", "n", "v"))],
@@ -170,26 +188,31 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "ve
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, code, _, _ in cells(batch):
+            for _, code, k, _ in cells(batch):
                 found_, m = np.unique(code, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found_), pa.array(m)], names=["cell", "m"])
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(m), pa.int32()), pa.array(found_), pa.array(m)], names=["block", "cell", "m"])
 
-    # Rows are made where they are needed: vectors are not written once for every cell.
-    seen = classes.mapInArrow(celled, "cell long, block int, home boolean, class long, id long, n long, v binary")
+    visited = written(classes.mapInArrow(counted, "block int, cell long, m long").groupBy("block", "cell").agg(F.sum("m").alias("m")))
     # Only cells that the sample's medians left too full.
-    full = written(classes.mapInArrow(counted, "cell long, m long").groupBy("cell").agg(F.sum("m").alias("m")).filter(F.col("m") > TILE).select("cell", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")))
-    tiled = seen.join(full, "cell", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    own = F.pmod(F.col("class"), F.col("tiles")).cast("int")
-    every = F.sequence(F.lit(0), F.col("tiles") - 1)
-    # A home row stands in one row of tiles, and every row, as a visitor, in one column.
-    stands = F.array(*[
-        F.struct(F.lit(False).alias("visitor"), own.alias("row"), F.lit(None).cast("int").alias("column")),
-        F.struct(F.lit(True).alias("visitor"), F.lit(None).cast("int").alias("row"), own.alias("column")),
-    ])
-    placed = tiled.withColumn("stand", F.explode(F.when(F.col("home"), stands).otherwise(F.slice(stands, 2, 1)))).withColumn("other", F.explode(every))
-    tiles = placed.select(
-        "cell", F.coalesce("stand.row", "other").alias("row"), F.coalesce("stand.column", "other").alias("column"), "block", "class", "id", "n", "v", F.col("stand.visitor").alias("visitor")
-    )
+    full = visited.filter(F.col("m") > TILE).select("cell", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
+    copies = F.col("m") * F.coalesce(F.ceil(F.col("m") / TILE), F.lit(1))
+    per_block = {r["block"]: r["copies"] for r in visited.groupBy("block").agg(F.sum(copies).alias("copies")).collect()}
+
+    def tiles_of(only: tuple[int, int, int] | None) -> DataFrame:
+        # Rows are made where they are needed: vectors are not written once for every cell.
+        seen = classes.mapInArrow(lambda batches: celled(batches, only), "cell long, block int, home boolean, class long, id long, n long, v binary")
+        tiled = seen.join(full, "cell", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+        own = F.pmod(F.col("class"), F.col("tiles")).cast("int")
+        every = F.sequence(F.lit(0), F.col("tiles") - 1)
+        # A home row stands in one row of tiles, and every row, as a visitor, in one column.
+        stands = F.array(*[
+            F.struct(F.lit(False).alias("visitor"), own.alias("row"), F.lit(None).cast("int").alias("column")),
+            F.struct(F.lit(True).alias("visitor"), F.lit(None).cast("int").alias("row"), own.alias("column")),
+        ])
+        placed = tiled.withColumn("stand", F.explode(F.when(F.col("home"), stands).otherwise(F.slice(stands, 2, 1)))).withColumn("other", F.explode(every))
+        return placed.select(
+            "cell", F.coalesce("stand.row", "other").alias("row"), F.coalesce("stand.column", "other").alias("column"), "block", "class", "id", "n", "v", F.col("stand.visitor").alias("visitor")
+        )
 
     def compared(tile: pa.Table) -> pa.Table:
         tile = tile.combine_chunks()
@@ -237,7 +260,10 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "ve
         return pa.table({"class": pa.array(names, pa.int64()), "links": pa.array([linked[n] for n in names], pa.int64()),
                          "id": pa.array([least[n] for n in names], pa.int64()), "to": pa.array([least[root(n)] for n in names], pa.int64())})
 
-    found = written(tiles.groupBy("cell", "row", "column").applyInArrow(compared, "class long, links long, id long, to long"))
+    # Copies grow faster than the vectors, so they are made and compared in rounds, and those of a round are gone before the next.
+    with shuffles_removed(spark):
+        rounds = [written(tiles_of(only).groupBy("cell", "row", "column").applyInArrow(compared, "class long, links long, id long, to long")) for only in rounds_of(per_block, total)]
+    found = functools.reduce(DataFrame.unionByName, rounds)
     labels = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     result = (

@@ -61,3 +61,23 @@ def test_sign_codes(spark):
     rows = [(1, [1.0, -1.0, 2.0]), (2, None), (3, [None, 1.0]), (4, [])]
     got = {r["id"]: r["code"] for r in codes.sign_codes(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
     assert got == {1: 5, 2: None, 3: None, 4: None}
+
+
+def test_linked_vectors_in_rounds(spark, monkeypatch):
+    """Copies of vectors that do not fit into one round are made in several, each cell in one of them, with the same links."""
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((400, 64))
+    x = [*base, *(base[k % 50] + rng.standard_normal(64) * 0.2 for k in range(400))]
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<float>")
+    whole = sorted(map(tuple, vectors.linked_vectors(df).collect()))
+    monkeypatch.setattr(vectors, "CELL", 100)
+    monkeypatch.setattr(vectors, "LEAST", 0)
+    monkeypatch.setattr(vectors, "ROUND", 2)
+    assert sorted(map(tuple, vectors.linked_vectors(df).collect())) == whole
+    rounds = vectors.rounds_of({0: 1_000, 1: 300}, 100)
+    assert rounds == [(0, k, 3) for k in range(8)] + [(1, k, 1) for k in range(2)] and vectors.rounds_of({0: 150}, 100) == [None]
+    y = rng.standard_normal((2_000, 8))
+    tree = vectors.divided(y, 100)
+    every = sorted((int(n), len(r), int(h.sum())) for r, n, h in vectors.visits(tree, y, 0.1))
+    for depth in (0, 3, 9):
+        assert sorted((int(n), len(r), int(h.sum())) for part in range(1 << depth) for r, n, h in vectors.visits(tree, y, 0.1, part, depth)) == every
